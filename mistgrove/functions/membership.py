@@ -59,7 +59,7 @@ def singleton_partition(arities: DataFrame, keys: tuple[str, ...] = ("feature",)
 
 def tnorm_product(*degrees: Column) -> Column:
     """Product of the degrees, 1 for none."""
-    return reduce(lambda x, y: x * y, degrees, F.lit(1.0))
+    return reduce(lambda x, y: x * y, degrees) if degrees else F.lit(1.0)
 
 
 def tnorm_min(*degrees: Column) -> Column:

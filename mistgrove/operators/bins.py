@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mistgrove.features import Feature
 from mistgrove.functions.lookup import CASE_LIMIT, decide, double_array, let, rank_of
-
-CELL = "struct<bin:int,mu:double>"
+#: Coordinates with more comparisons than this are computed outside the fused stage.
+FUSED_COMPARISONS = 40
 
 
 def uniform_cores(sets: int) -> list[float]:
@@ -25,31 +25,25 @@ def uniform_cores_table(names: DataFrame, sets: int) -> DataFrame:
     return names.select("feature", place).withColumn("core", F.col("bin") * F.lit(1.0 / (sets - 1)))
 
 
-def cell(feature: Feature) -> Column:
-    """The lowest fired bin and its membership.
+def coordinate(feature: Feature) -> Column:
+    """Where a value lies on its column's scale of bins, as one number.
 
-    A numeric value lies between two cores: it fires the lower set with `mu` and, when mu < 1,
-    the next one with 1 - mu, so the pair is all there is to know. A nominal code outside the
-    declared range becomes bin -1 with membership 0.
+    A numeric value between cores k and k+1 has k plus its share of the way: it belongs to bin k
+    with one minus that share and to bin k+1 with the share. A category has its code. Outer
+    values sit on the first or last core; a code that was not declared becomes -1.
     """
     x = F.col(feature.name)
     if feature.kind == "nominal":
         known = (x >= 0) & (x < feature.arity)
-        return F.struct(
-            F.when(known, x).otherwise(-1).cast("int").alias("bin"),
-            F.when(known, 1.0).otherwise(0.0).alias("mu"),
-        )
+        return F.when(known, x).otherwise(-1).cast("double")
     x, cores = x.cast("double"), feature.cores
     last = len(cores) - 1
 
-    def pair(k: Column, mu: Column) -> Column:
-        return F.struct(k.cast("int").alias("bin"), mu.alias("mu"))
-
     def leaf(passed: int) -> Column:
         k = passed - 1
         if k < 0 or k == last:
-            return pair(F.lit(max(k, 0)), F.lit(1.0))
-        return pair(F.lit(k), 1.0 - (x - F.lit(cores[k])) / F.lit(cores[k + 1] - cores[k]))
+            return F.lit(float(max(k, 0)))
+        return F.lit(float(k)) + (x - F.lit(cores[k])) / F.lit(cores[k + 1] - cores[k])
 
     if len(cores) <= CASE_LIMIT:
         return decide(x, cores, leaf, inclusive=True)
@@ -57,34 +51,54 @@ def cell(feature: Feature) -> Column:
 
     def between(k: Column) -> Column:
         b, c = F.get(table, k), F.get(table, k + 1)
-        inner = (k >= 0) & (k < last)
-        return pair(F.greatest(k, F.lit(0)), F.when(inner, 1.0 - (x - b) / (c - b)).otherwise(1.0))
+        return F.when(k < 0, 0.0).when(k == last, float(last)).otherwise(k + (x - b) / (c - b))
 
     return let(rank_of(x, cores, inclusive=True) - 1, between)
 
 
-def with_cells(df: DataFrame, features: list[Feature], *keep) -> DataFrame:
-    """The kept columns and `cells`, one cell per feature in feature order."""
-    return df.select(*keep, F.array(*[cell(f) for f in features]).alias("cells"))
+def lower_bin(coord: Column) -> Column:
+    """The lowest fired bin (-1 for an undeclared category)."""
+    return F.floor(coord).cast("int")
+
 
+def upper_degree(coord: Column) -> Column:
+    """Membership in the bin above the lowest fired one, often 0; that one has the rest of 1."""
+    return coord - F.floor(coord)
 
-def fired(cell_column: Column) -> Column:
-    """A cell as the array of its fired (bin, mu) pairs; empty for an unknown category."""
+
+def with_coords(df: DataFrame, features: list[Feature], *keep) -> DataFrame:
+    """The kept columns and `coords`, one coordinate per feature in feature order.
+
+    With many comparisons the array goes through an identity `transform`. That takes the
+    projection out of the fused stage, so that it is generated as many small methods instead
+    of one that is too long for the JVM to compile.
+    """
+    coords = F.array(*[coordinate(f) for f in features])
+    if sum(len(f.cores) + 2 for f in features) > FUSED_COMPARISONS:
+        coords = F.transform(coords, lambda c: c)
+    return df.select(*keep, coords.alias("coords"))
+
+
+def fired(coord: Column) -> Column:
+    """A coordinate as the array of its fired (bin, mu) pairs; empty for an undeclared category."""
 
     def pair(b: Column, mu: Column) -> Column:
         return F.struct(b.alias("bin"), mu.alias("mu"))
 
-    b, mu = cell_column["bin"], cell_column["mu"]
-    pairs = F.array(pair(b, mu), pair(b + 1, F.when(b < 0, 0.0).otherwise(1.0 - mu)))
-    return F.filter(pairs, lambda p: p["mu"] > 0)
+    b, up = lower_bin(coord), upper_degree(coord)
+    none = F.array().cast("array<struct<bin:int,mu:double>>")
+    return (
+        F.when(coord < 0, none).when(up > 0, F.array(pair(b, 1.0 - up), pair(b + 1, up)))
+        .otherwise(F.array(pair(b, F.lit(1.0))))
+    )
 
 
 def bin_features(df: DataFrame, features: list[Feature], *keep) -> DataFrame:
     """The kept columns and, per feature, an array of all fired (bin, mu) pairs."""
-    binned = with_cells(df, features, *keep)
-    kept = [c for c in binned.columns if c != "cells"]
+    binned = with_coords(df, features, *keep)
+    kept = [c for c in binned.columns if c != "coords"]
     return binned.select(
-        *kept, *[fired(F.get("cells", F.lit(i))).alias(f.name) for i, f in enumerate(features)]
+        *kept, *[fired(F.get("coords", F.lit(i))).alias(f.name) for i, f in enumerate(features)]
     )
 
 

@@ -1,74 +1,106 @@
-"""Sending rows down a tree as joins with the table of splits."""
+"""Sending rows down a tree as joins with the table of splits.
+
+The fan-out opens a constant array of sides (0: lower bin or left child, 1: upper bin or right
+child) and derives the child by arithmetic. Together with the scan and the partial sums this
+stays one fused stage whose generated method is small enough for the JVM to compile.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from mistgrove.functions.membership import tnorm as tnorm_named
+from mistgrove.operators.bins import lower_bin, upper_degree
+
+ROOT = 1
 
 
 def at_root(fuzzy_rows: DataFrame, *keep: str) -> DataFrame:
-    """Every row at node 1 with activation 1."""
+    """Every row at the root with activation 1."""
     return fuzzy_rows.select(
-        F.lit(1).cast("bigint").alias("node_id"), F.lit(1.0).alias("activation"), "cells", *keep
+        F.lit(ROOT).cast("bigint").alias("node_id"), F.lit(1.0).alias("activation"), "coords", *keep
     )
 
 
-def multi_children(cell: Column, act: Column, first_child: Column, tnorm: str) -> Column:
-    """The children a cell fires with their activations: one per fired bin."""
-    t = tnorm_named(tnorm)
+def join_splits(routed: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows with the split of the node they are at; pass `splits` through `small_side`."""
+    return routed.join(splits, "node_id")
 
-    def child(offset: Column, degree: Column) -> Column:
-        return F.struct((first_child + offset).alias("node_id"), t(act, degree).alias("activation"))
 
-    b, mu = cell["bin"], cell["mu"]
-    none = F.array().cast("array<struct<node_id:bigint,activation:double>>")
-    return (
-        F.when(b < 0, none).when(mu < 1.0, F.array(child(b, mu), child(b + 1, 1.0 - mu)))
-        .otherwise(F.array(child(b, mu)))
-    )
+def root_split(routed: DataFrame, split: Row) -> DataFrame:
+    """The same for the root, whose single split needs no join."""
+    types = {"split_feature": "int", "first_child": "bigint", "left_bins": "array<int>"}
 
+    def literal(name: str) -> Column:
+        value = split[name]
+        return (F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)).cast(types[name])
+
+    return routed.withColumns({name: literal(name) for name in types if name in split})
 
-def route_multi(routed: DataFrame, splits: DataFrame, tnorm: str = "product") -> DataFrame:
-    """One level down a multi-way tree; rows at nodes without a split are dropped.
 
-    `splits` has (node_id, split_feature, first_child); pass it through `small_side`.
+def _sides(*values: int) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<int>")
+
+
+def descend_multi(here: DataFrame, keep: list[str], tnorm: str = "product") -> DataFrame:
+    """Rows at the children of their multi-way split: one per fired bin.
+
+    `here` has node_id, activation, coords, split_feature and first_child. An undeclared
+    category fires no bin, so its row ends here.
     """
-    keep = [c for c in routed.columns if c not in ("node_id", "activation")]
-    cell = F.get("cells", F.col("split_feature"))
-    children = multi_children(cell, F.col("activation"), F.col("first_child"), tnorm)
-    return routed.join(splits, "node_id").select(*keep, F.inline(children))
+    t = tnorm_named(tnorm)
+    coord = F.col("coord")
+    up = upper_degree(coord)
+    sides = F.when(up > 0, _sides(0, 1)).when(coord >= 0, _sides(0)).otherwise(_sides())
+    opened = here.withColumn("coord", F.get("coords", F.col("split_feature"))).select(
+        "activation", "first_child", "coord", *keep, F.explode_outer(sides).alias("side")
+    ).filter("side is not null")
+    degree = F.when(F.col("side") == 0, 1.0 - up).otherwise(up)
+    return opened.select(
+        (F.col("first_child") + lower_bin(coord) + F.col("side")).alias("node_id"),
+        t(F.col("activation"), degree).alias("activation"), *keep,
+    )
 
 
-def route_binary(routed: DataFrame, splits: DataFrame, tnorm: str = "product") -> DataFrame:
-    """One level down a binary tree in training; `splits` has (node_id, split_feature, left_bins).
+def descend_binary(here: DataFrame, keep: list[str], tnorm: str = "product") -> DataFrame:
+    """Rows at the children of their binary split in training.
 
-    All fired bins left: left child. None left: right child. Else both, with the t-norm applied
-    only the first time the row is parted on that feature, as `crossed` remembers.
+    `here` has node_id, activation, crossed, coords, split_feature and left_bins. All fired bins
+    left: left child. None left: right child. Else both, with the t-norm applied only the first
+    time the row is parted on that feature, as `crossed` remembers.
     """
     t = tnorm_named(tnorm)
-    act, feature = F.col("activation"), F.col("split_feature")
-    cell = F.get("cells", feature)
-    b, mu = cell["bin"], cell["mu"]
-    low_left = F.array_contains("left_bins", b)
-    high_left = F.array_contains("left_bins", b + 1)
-    two = (b >= 0) & (mu < 1.0)
-    fresh = ~F.array_contains("crossed", feature)
-    crossed_now = F.when(fresh, F.array_append("crossed", feature)).otherwise(F.col("crossed"))
-
-    def child(right: int, degree: Column | None = None) -> Column:
-        activation = act if degree is None else F.when(fresh, t(act, degree)).otherwise(act)
-        return F.struct(
-            (F.col("node_id") * 2 + right).alias("node_id"), activation.alias("activation"),
-            (F.col("crossed") if degree is None else crossed_now).alias("crossed"),
-        )
-
-    left_degree = F.when(low_left, mu).otherwise(1.0 - mu)
-    right_degree = F.when(low_left, 1.0 - mu).otherwise(mu)
-    children = (
-        F.when(two & (low_left != high_left), F.array(child(0, left_degree), child(1, right_degree)))
-        .when(low_left, F.array(child(0))).otherwise(F.array(child(1)))
+    coord, feature, side = F.col("coord"), F.col("split_feature"), F.col("side")
+    low, up = lower_bin(coord), upper_degree(coord)
+    low_left = F.array_contains("left_bins", low)
+    high_left = F.when(up > 0, F.array_contains("left_bins", low + 1)).otherwise(low_left)
+    marked = here.withColumn("coord", F.get("coords", feature)).withColumns({
+        "low_left": low_left, "parted": low_left != high_left,
+    })
+    sides = F.when(F.col("parted"), _sides(0, 1)).when(F.col("low_left"), _sides(0)).otherwise(_sides(1))
+    opened = marked.select(
+        "node_id", "activation", "crossed", "split_feature", "coord", "low_left", *keep,
+        (F.col("parted") & ~F.array_contains("crossed", feature)).alias("fresh"), "parted",
+        F.explode_outer(sides).alias("side"),
+    )
+    lower_side = F.col("low_left") == (side == 0)
+    degree = F.when(lower_side, 1.0 - up).otherwise(up)
+    return opened.select(
+        (F.col("node_id") * 2 + side).alias("node_id"),
+        F.when(F.col("fresh"), t(F.col("activation"), degree)).otherwise(F.col("activation")).alias("activation"),
+        F.when(F.col("fresh"), F.array_append("crossed", feature)).otherwise(F.col("crossed")).alias("crossed"),
+        *keep,
     )
+
+
+def route_multi(routed: DataFrame, splits: DataFrame, tnorm: str = "product") -> DataFrame:
+    """One level down a multi-way tree; rows at nodes without a split are dropped."""
+    keep = [c for c in routed.columns if c not in ("node_id", "activation")]
+    return descend_multi(join_splits(routed, splits), keep, tnorm)
+
+
+def route_binary(routed: DataFrame, splits: DataFrame, tnorm: str = "product") -> DataFrame:
+    """One level down a binary tree in training; rows at nodes without a split are dropped."""
     keep = [c for c in routed.columns if c not in ("node_id", "activation", "crossed")]
-    return routed.join(splits, "node_id").select(*keep, F.inline(children))
+    return descend_binary(join_splits(routed, splits), keep, tnorm)

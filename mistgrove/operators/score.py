@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mistgrove.functions.impurity import class_shares
-from mistgrove.functions.lookup import constant, let
 from mistgrove.functions.membership import tnorm as tnorm_named
-from mistgrove.operators.bins import with_cells
-from mistgrove.operators.route import multi_children
+from mistgrove.operators.bins import lower_bin, upper_degree, with_coords
+from mistgrove.operators.descent import FlatTree, descend_batch
 from mistgrove.plans.trees import TreeModel
 from mistgrove.storage import small_side
 
-#: Trees of at most this many nodes are put into the expression itself.
+#: Trees of at most this many nodes are sent to the tasks whole.
 INLINE_NODES = 100_000
 
 MEMORY = "map<int,int>"
 
 
+def multi_children(coord: Column, state: Column, first_child: Column, tnorm: str) -> Column:
+    """Where a multi-way node sends a row, as an array of states: one child per fired bin."""
+    t = tnorm_named(tnorm)
+
+    def child(offset: Column, degree: Column) -> Column:
+        return F.struct(
+            (first_child + offset).alias("node_id"), t(state["activation"], degree).alias("activation")
+        )
+
+    b, up = lower_bin(coord), upper_degree(coord)
+    none = F.array().cast("array<struct<node_id:bigint,activation:double>>")
+    return (
+        F.when(up > 0, F.array(child(b, 1.0 - up), child(b + 1, up)))
+        .when(coord < 0, none).otherwise(F.array(child(b, F.lit(1.0))))
+    )
+
+
 def binary_children(
-    cell: Column, state: Column, feature: Column, left_bins: Column, first_child: Column, tnorm: str
+    coord: Column, state: Column, feature: Column, left_bins: Column, first_child: Column, tnorm: str
 ) -> Column:
     """Where a binary node sends a row in scoring, as an array of states.
 
@@ -31,10 +49,10 @@ def binary_children(
     """
     t = tnorm_named(tnorm)
     act, memory = state["activation"], state["memory"]
-    b, mu = cell["bin"], cell["mu"]
+    b, up = lower_bin(coord), upper_degree(coord)
     low = F.array_contains(left_bins, b)
-    high = F.array_contains(left_bins, b + 1) & (mu < 1.0) & (b >= 0)
-    s = F.round(F.when(low, mu).otherwise(0.0) + F.when(high, 1.0 - mu).otherwise(0.0), 12)
+    high = F.array_contains(left_bins, b + 1) & (up > 0)
+    s = F.round(F.when(low, 1.0 - up).otherwise(0.0) + F.when(high, up).otherwise(0.0), 12)
     bin_left = F.when(high, b + 1).otherwise(b)
     known = F.try_element_at(memory, feature)
 
@@ -64,44 +82,41 @@ def start(binary: bool, node: int) -> Column:
     return F.struct(*fields)
 
 
-def scores_inline(model: TreeModel) -> Column:
-    """Class confidences as one expression over `cells`: no shuffle, no join, no Python.
-
-    The tree is read once and becomes constant arrays; the row carries the array of nodes it is
-    at and steps down all of them together, level by level. Empty when no leaf fired.
-    """
-    binary = model.kind == "binary"
+def flat_tree(model: TreeModel) -> FlatTree:
+    """The nodes as arrays, renumbered densely (the tree is small: see `INLINE_NODES`)."""
     nodes = model.nodes.withColumn("share", class_shares(F.col("u"))).select(
-        "node_id", "level", "split_feature", "first_child", "left_bins", "share"
+        "node_id", "split_feature", "first_child", "left_bins", "share"
     ).orderBy("node_id").collect()
     place = {n.node_id: i for i, n in enumerate(nodes)}
-    inner = [n.split_feature is not None for n in nodes]
-    split = constant([n.split_feature if i else -1 for n, i in zip(nodes, inner)], "array<int>")
-    child = constant([place[n.first_child] if i else -1 for n, i in zip(nodes, inner)], "array<bigint>")
-    left = constant([list(n.left_bins or []) for n in nodes], "array<array<int>>")
-    shares = constant([s for n in nodes for s in n.share], "array<double>")
-
-    def step(state: Column) -> Column:
-        at = state["node_id"].cast("int")
-        feature = F.get(split, at)
+    left = None
+    if model.kind == "binary":
+        left = np.zeros((len(nodes), max(f.bins for f in model.features)), bool)
+        for i, n in enumerate(nodes):
+            left[i, n.left_bins or []] = True
+    return FlatTree(
+        np.array([-1 if n.split_feature is None else n.split_feature for n in nodes]),
+        np.array([place.get(n.first_child, -1) for n in nodes]),
+        np.array([n.share for n in nodes]), left, model.tnorm.lower() == "product",
+    )
 
-        def down(cell: Column) -> Column:
-            if binary:
-                return binary_children(cell, state, feature, F.get(left, at), F.get(child, at), model.tnorm)
-            return multi_children(cell, state["activation"], F.get(child, at), model.tnorm)
 
-        return F.when(feature < 0, F.array(state)).otherwise(let(F.get("cells", feature), down))
+def scores_in_place(model: TreeModel):
+    """A function of the `coords` column giving the class confidences, an array empty if no leaf fired.
 
-    reached = F.array(start(binary, 0))
-    for _ in range(max(n.level for n in nodes)):
-        reached = F.flatten(F.transform(reached, step))
-    zeros, none = F.array(*[F.lit(0.0)] * model.classes), F.array().cast("array<double>")
+    It works on Arrow batches of a map-only stage, so it needs no row key and no shuffle and
+    serves streaming tables as well. A row opens into many leaves and closes again, which
+    built-in operators can only do with a shuffle on a row key or with interpreted lambdas.
+    """
+    tree, width = flat_tree(model), len(model.features)
 
-    def add(total: Column, state: Column) -> Column:
-        share = F.slice(shares, state["node_id"].cast("int") * model.classes + 1, model.classes)
-        return F.zip_with(total, share, lambda x, w: x + w * state["activation"])
+    @F.arrow_udf("array<double>")
+    def scores(coords: pa.Array) -> pa.Array:
+        matrix = coords.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        totals, hit = descend_batch(tree, matrix)
+        ends = np.concatenate([[0], np.cumsum(np.where(hit, totals.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(totals[hit].ravel()))
 
-    return let(reached, lambda r: F.when(F.size(r) > 0, F.aggregate(r, zeros, add)).otherwise(none))
+    return scores
 
 
 def scores_by_join(fuzzy: DataFrame, model: TreeModel, keys: list[str]) -> DataFrame:
@@ -112,7 +127,7 @@ def scores_by_join(fuzzy: DataFrame, model: TreeModel, keys: list[str]) -> DataF
     binary = model.kind == "binary"
     nodes = model.nodes.withColumn("share", class_shares(F.col("u")))
     per_level = {r.level: r["count"] for r in nodes.groupBy("level").count().collect()}
-    state = fuzzy.select(*keys, "cells", F.inline(F.array(start(binary, 1))))
+    state = fuzzy.select(*keys, "coords", F.inline(F.array(start(binary, 1))))
     carried = ["memory"] if binary else []
     reached = None
     for level in sorted(per_level):
@@ -122,15 +137,15 @@ def scores_by_join(fuzzy: DataFrame, model: TreeModel, keys: list[str]) -> DataF
         joined = state.join(small_side(here, per_level[level]), "node_id")
         part = joined.filter("split_feature is null").select(*keys, "activation", "share")
         reached = part if reached is None else reached.unionByName(part)
-        cell = F.get("cells", F.col("split_feature"))
+        coord = F.get("coords", F.col("split_feature"))
         if binary:
             row = F.struct("activation", *carried)
             down = binary_children(
-                cell, row, F.col("split_feature"), F.col("left_bins"), F.col("first_child"), model.tnorm
+                coord, row, F.col("split_feature"), F.col("left_bins"), F.col("first_child"), model.tnorm
             )
         else:
-            down = multi_children(cell, F.col("activation"), F.col("first_child"), model.tnorm)
-        state = joined.filter("split_feature is not null").select(*keys, "cells", F.inline(down))
+            down = multi_children(coord, F.struct("activation"), F.col("first_child"), model.tnorm)
+        state = joined.filter("split_feature is not null").select(*keys, "coords", F.inline(down))
     summed = [F.sum(F.col("activation") * F.get("share", F.lit(j))) for j in range(model.classes)]
     totals = reached.groupBy(*keys).agg(F.array(*summed).alias("scores"))
     unfired = F.array().cast("array<double>")
@@ -148,11 +163,11 @@ def score_table(
 ) -> DataFrame:
     """The kept columns, `scores` (one confidence per class) and `prediction` for every row."""
     if model.nodes.count() <= inline_nodes:
-        scored = with_cells(df, model.features, *keep).withColumn("scores", scores_inline(model)).drop("cells")
+        scored = with_coords(df, model.features, *keep).withColumn("scores", scores_in_place(model)("coords")).drop("coords")
     else:
         if not keys:
             raise ValueError("a tree this large is scored by joins: name the columns that identify a row")
-        fuzzy = with_cells(df, model.features, *keys)
+        fuzzy = with_coords(df, model.features, *keys)
         scored = df.select(*dict.fromkeys([*keep, *keys])).join(scores_by_join(fuzzy, model, keys), keys)
     return scored.withColumn("prediction", predict_class(F.col("scores")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mistgrove.functions.impurity import entropy
 from mistgrove.functions.membership import tnorm as tnorm_named
+from mistgrove.operators.bins import lower_bin, upper_degree
 
 STATS_KEYS = ["node_id", "feature", "bin", "label"]
 
@@ -15,9 +16,10 @@ def node_stats(routed: DataFrame, tnorm: str = "product", binary: bool = False)
     """(node_id, feature, bin, label, u, freq) over the rows `routed` to the nodes being split.
 
     `u` sums t-norm(membership, activation), `freq` counts rows with a membership above 0.
-    A cell stands for its lower and its upper bin, so each row gives one record per feature
-    that carries both sums; partial aggregation folds them before anything is shuffled.
-    The two halves are laid out as bins afterwards, on the aggregated rows.
+    A coordinate stands for its lower and its upper bin, so each row gives one record per
+    feature that carries both sums; partial aggregation folds them before anything is shuffled.
+    The two halves are laid out as bins afterwards, on the aggregated rows. (`coords` is never
+    empty; the outer form only spares the optimizer's extra filter on its size.)
 
     Multi-way: features in the node's `used` list are left out, since no split may use them.
     Binary: a feature in the node's `allowed` map has membership 1 for its allowed fired bins.
@@ -25,26 +27,22 @@ def node_stats(routed: DataFrame, tnorm: str = "product", binary: bool = False)
     t = tnorm_named(tnorm)
     act = F.col("activation")
     opened = routed.select("node_id", "activation", "label", *(["allowed"] if binary else ["used"]),
-                           F.posexplode("cells").alias("feature", "cell"))
+                           F.posexplode_outer("coords").alias("feature", "coord"))
     if binary:
-        permitted = F.try_element_at("allowed", F.col("feature"))
-        opened = opened.withColumn("permitted", permitted)
+        opened = opened.withColumn("permitted", F.try_element_at("allowed", F.col("feature")))
     else:
         opened = opened.filter(~F.array_contains("used", F.col("feature")))
-    low, mu = F.col("cell")["bin"], F.col("cell")["mu"]
+    low, up = lower_bin(F.col("coord")), upper_degree(F.col("coord"))
 
-    def side(bin_: Column, degree: Column) -> tuple[Column, Column]:
+    def side(bin_: Column, hit: Column, degree: Column) -> tuple[Column, Column]:
         if binary:
             first_use = F.col("permitted").isNull()
-            open_ = first_use | F.array_contains("permitted", bin_)
-            hit = (degree > 0) & F.coalesce(open_, F.lit(True))
+            hit = hit & (first_use | F.array_contains("permitted", bin_))
             degree = F.when(first_use, degree).otherwise(1.0)
-        else:
-            hit = degree > 0
         return hit, F.when(hit, t(degree, act)).otherwise(0.0)
 
-    low_hit, low_u = side(low, mu)
-    high_hit, high_u = side(low + 1, F.when(low < 0, 0.0).otherwise(1.0 - mu))
+    low_hit, low_u = side(low, F.col("coord") >= 0, 1.0 - up)
+    high_hit, high_u = side(low + 1, up > 0, up)
     folded = opened.groupBy("node_id", "feature", low.alias("low"), "label").agg(
         F.sum(low_u).alias("u0"), F.count_if(low_hit).alias("f0"),
         F.sum(high_u).alias("u1"), F.count_if(high_hit).alias("f1"),

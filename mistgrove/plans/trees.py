@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +12,18 @@ from pyspark.sql.window import Window
 from mistgrove.features import Feature
 from mistgrove.functions.impurity import array_total, node_purity
 from mistgrove.functions.lookup import double_array
-from mistgrove.operators.bins import with_cells
+from mistgrove.operators.bins import with_coords
 from mistgrove.operators.encode import check_bins, validate
-from mistgrove.operators.route import at_root, route_binary, route_multi
+from mistgrove.operators.route import (
+    at_root, descend_binary, descend_multi, root_split, route_binary, route_multi,
+)
 from mistgrove.operators.splits import allowed_bins, best_split_binary, best_split_multi
 from mistgrove.operators.stats import node_predict, node_stats
-from mistgrove.storage import settle, small_side
+from mistgrove.storage import settle, small_side, spread
+
+#: Fuzzified rows of at most this size are kept between levels; larger tables are scanned again,
+#: which costs less than storing them.
+KEEP_BYTES = 4 << 30
 
 PATH = "array<struct<feature:int,bins:array<int>,inside:boolean>>"
 ALLOWED = "map<int,array<int>>"
@@ -155,8 +162,12 @@ def train_tree(
     """
     rows = df.count() if checked else validate(df, features, label, classes)
     max_bins = check_bins(features, options.max_bins, rows, binary)
-    fuzzy = with_cells(df, features, F.col(label).cast("int").alias("label"))
-    state = ["cells", "label"]
+    fuzzy = with_coords(df, features, F.col(label).cast("int").alias("label"))
+    kept = rows * (8 * len(features) + 32) <= KEEP_BYTES
+    if kept:
+        fuzzy = spread(fuzzy, rows).persist(StorageLevel.MEMORY_AND_DISK)
+    state = ["coords", "label"]
+    route, descend = (route_binary, descend_binary) if binary else (route_multi, descend_multi)
     levels: list[tuple[DataFrame, int]] = []  # splits of each level and their number
     finished: list[DataFrame] = []
     open_nodes, open_count, next_id = None, 1, 2
@@ -164,9 +175,11 @@ def train_tree(
         routed = at_root(fuzzy, *state)
         if binary:
             routed = routed.withColumn("crossed", F.array().cast("array<int>"))
-        for splits, count in levels:
-            route = route_binary if binary else route_multi
-            routed = route(routed, small_side(splits, count), tnorm)
+        for depth, (splits, count) in enumerate(levels):
+            if depth == 0:
+                routed = descend(root_split(routed, splits.first()), state, tnorm)
+            else:
+                routed = route(routed, small_side(splits, count), tnorm)
         if level == 0:
             routed = routed.withColumns({
                 "allowed": F.create_map().cast(ALLOWED), "used": F.array().cast("array<int>"),
@@ -174,7 +187,9 @@ def train_tree(
         else:
             limits = open_nodes.select("node_id", "allowed", F.transform("path", lambda p: p["feature"]).alias("used"))
             routed = routed.join(small_side(limits, open_count), "node_id")
-        stats = settle(node_stats(routed, tnorm, binary))
+        stats = node_stats(routed, tnorm, binary)
+        if binary or level == 0:  # read more than once
+            stats = settle(stats)
         if level == 0:
             open_nodes = settle(_root(stats, classes))
         if binary:
@@ -209,7 +224,10 @@ def train_tree(
         blank = {c: F.when(~F.col("is_leaf"), F.col(c)) for c in ("first_child", "left_bins", "gain")}
         full = full.withColumns(blank).select(*NODE_COLUMNS)
         nodes = full if nodes is None else nodes.unionByName(full)
-    return TreeModel("binary" if binary else "multi", settle(nodes), features, classes, tnorm)
+    nodes = settle(nodes)
+    if kept:
+        fuzzy.unpersist()
+    return TreeModel("binary" if binary else "multi", nodes, features, classes, tnorm)
 
 
 def train_multi(
