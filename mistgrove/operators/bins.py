@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mistgrove.features import Feature
-from mistgrove.functions.lookup import CASE_LIMIT, decide, double_array, let, rank_of
+from mistgrove.functions.lookup import CASE_LIMIT, constant, decide, double_array, let, rank_of
 #: Coordinates with more comparisons than this are computed outside the fused stage.
 FUSED_COMPARISONS = 40
 
@@ -102,13 +102,18 @@ def bin_features(df: DataFrame, features: list[Feature], *keep) -> DataFrame:
     )
 
 
+def sets_of(feature: Feature) -> Column:
+    """The fuzzy sets of one column as a constant array of (bin, a, b, c), null feet open."""
+    if feature.kind == "numeric":
+        feet = [None, *feature.cores, None]
+        rows = [dict(zip("abc", feet[k:k + 3]), bin=k) for k in range(len(feature.cores))]
+    else:
+        rows = [{"bin": k, "a": float(k), "b": float(k), "c": float(k)} for k in range(feature.arity)]
+    return constant(rows, "array<struct<bin:int,a:double,b:double,c:double>>")
+
+
 def partition_table(spark: SparkSession, features: list[Feature]) -> DataFrame:
     """(feature, bin, a, b, c) of every fuzzy set; null feet are open, a singleton has a = b = c."""
-    rows = []
-    for f in features:
-        if f.kind == "numeric":
-            feet = [None, *f.cores, None]
-            rows += [(f.name, k, feet[k], feet[k + 1], feet[k + 2]) for k in range(len(f.cores))]
-        else:
-            rows += [(f.name, k, float(k), float(k), float(k)) for k in range(f.arity)]
-    return spark.createDataFrame(rows, "feature string, bin int, a double, b double, c double")
+    parts = [F.struct(F.lit(f.name).alias("feature"), sets_of(f).alias("sets")) for f in features]
+    opened = spark.range(1).select(F.inline(F.array(*parts)))
+    return opened.select("feature", F.inline("sets"))

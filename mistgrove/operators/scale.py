@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mistgrove.functions.lookup import constant, let, rank_of
+from mistgrove.storage import spread
 
 
 def range_edges(df: DataFrame, cols: list[str], buckets: int, rows: int, seed: int = 17) -> dict[str, list[float]]:
@@ -61,6 +62,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], bins: int = 1000, buckets: i
     positions = quantile_positions(rows, bins)
     if buckets is None:
         buckets = min(8 * bins, max(1, rows // 1000))
+    df = spread(df.select(*cols), rows)
     edges = range_edges(df, cols, buckets, rows)
     long = melt(df, cols, edges)
 
@@ -104,6 +106,10 @@ def to_uniform(df: DataFrame, quantiles: dict[str, list[float]], lower: dict[str
     first segment starts at the declared lower bound; values past the last quantile give 1.
     Among equal quantiles the first is used. Test rows reuse the quantiles of the training rows.
     """
+
+    def along(x: Column):
+        return lambda s: s["m"] * (x - s["x1"]) + s["y1"]
+
     mapped = {}
     for name, q in quantiles.items():
         n = len(q)
@@ -115,5 +121,5 @@ def to_uniform(df: DataFrame, quantiles: dict[str, list[float]], lower: dict[str
         segments.append({"m": 0.0, "x1": 0.0, "y1": 1.0})
         table = constant(segments, "array<struct<m:double,x1:double,y1:double>>")
         x = F.col(name).cast("double")
-        mapped[name] = let(F.get(table, rank_of(x, q)), lambda s, x=x: s["m"] * (x - s["x1"]) + s["y1"])
+        mapped[name] = let(F.get(table, rank_of(x, q)), along(x))
     return df.withColumns(mapped)

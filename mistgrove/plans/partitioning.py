@@ -9,7 +9,7 @@ from mistgrove.operators.cores import best_cores, searchable_bins, split_segment
 from mistgrove.operators.cuts import (
     EQUAL_FREQUENCY, candidate_cuts, contingency, cut_lists, fit_sizes,
 )
-from mistgrove.storage import settle
+from mistgrove.storage import settle, spread
 
 
 def search_cores(bins: DataFrame, min_instances: int = 0, min_gain: float = 1e-6) -> DataFrame:
@@ -43,6 +43,7 @@ def fuzzy_partition(
     if not cols:
         raise ValueError("no numeric column to partition")
     sizes = fit_sizes(df.count(), max_bins, min_ratio)
+    df = spread(df, sizes.rows)
     cuts = settle(candidate_cuts(df, cols, strategy, sizes.splits, block, fraction, seed))
     counts = contingency(df, label, cut_lists(cuts), strategy)
     found = search_cores(searchable_bins(cuts, counts, classes), sizes.min_instances, min_gain)
