@@ -77,18 +77,18 @@ FROM (SELECT DISTINCT event_type AS label FROM events)"""
 ORACLE["fit_metadata"] = """
 SELECT n AS rows, least(1000, n) AS bins, least(1000, n) - 1 AS splits, CAST(floor(n * 0.01::DOUBLE) AS BIGINT) AS min_instances
 FROM (SELECT count(*) AS n FROM lineitem)"""
-CENTURY = "substr(CAST(l_shipdate AS VARCHAR), 1, 2)"
+DIGITS = "CAST(length(CAST(year(l_shipdate) AS VARCHAR)) AS VARCHAR)"
 ORACLE["constant_features"] = f"""
-SELECT CAST(6 AS BIGINT) AS idx, 'ship_century' AS name, min({CENTURY}) AS listing
-FROM lineitem HAVING count(DISTINCT {CENTURY}) = 1"""
+SELECT CAST(6 AS BIGINT) AS idx, 'year_digits' AS name, min({DIGITS}) AS listing
+FROM lineitem HAVING count(DISTINCT {DIGITS}) = 1"""
 ORACLE["encode_and_drop"] = f"""
 WITH {SRC} SELECT {KEY_OUT}, CAST(flag AS BIGINT) AS l_returnflag, CAST(status AS BIGINT) AS l_linestatus,
   CAST(cls AS BIGINT) AS cls FROM src"""
 ORACLE["reindexed_features"] = f"""
-WITH c AS (SELECT count(DISTINCT {CENTURY}) AS n FROM lineitem),
+WITH c AS (SELECT count(DISTINCT {DIGITS}) AS n FROM lineitem),
 all_features(i, name, kind) AS (VALUES (0,'l_quantity','numeric'), (1,'l_extendedprice','numeric'), (2,'l_discount','numeric'),
-  (3,'l_tax','numeric'), (4,'l_returnflag','nominal'), (5,'l_linestatus','nominal'), (6,'ship_century','nominal'), (7,'cls','nominal'))
-SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS idx, name, kind FROM all_features, c WHERE name <> 'ship_century' OR n > 1"""
+  (3,'l_tax','numeric'), (4,'l_returnflag','nominal'), (5,'l_linestatus','nominal'), (6,'year_digits','nominal'), (7,'cls','nominal'))
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS idx, name, kind FROM all_features, c WHERE name <> 'year_digits' OR n > 1"""
 ORACLE["rule_violations"] = f"""
 WITH {SRC} SELECT rule, CAST(bad AS BIGINT) AS bad FROM (
   {" UNION ALL ".join(f"SELECT '{c}: null or NaN' AS rule, count(*) FILTER ({c} IS NULL OR isnan({c})) AS bad FROM src" for c in NUMERIC)}
@@ -108,7 +108,7 @@ ORACLE["singleton_partition"] = f"""
 WITH v AS (
   SELECT 'l_returnflag' AS feature, count(DISTINCT l_returnflag) AS n FROM lineitem
   UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem
-  UNION ALL SELECT 'ship_century', count(DISTINCT {CENTURY}) FROM lineitem
+  UNION ALL SELECT 'year_digits', count(DISTINCT {DIGITS}) FROM lineitem
   UNION ALL SELECT 'cls', 3)
 SELECT feature, CAST(k AS BIGINT) AS bin, CAST(k AS DOUBLE) AS v FROM v, range(25) t(k) WHERE k < n"""
 ORACLE["fuzzy_sets"] = f"""
@@ -165,18 +165,20 @@ FROM part"""
 
 # ---- quantiles and scaling -------------------------------------------------------------------
 
-QUANTILES = f"""
+def quantiles(bins: int) -> str:
+    return f"""
 {SRC}, {NUM}, {ENDS},
 positions AS (
-  SELECT DISTINCT greatest(0, CAST(ceil(i / 1000.0::DOUBLE * n - 1) AS BIGINT)) AS p
-  FROM range(1, 1001) t(i), (SELECT count(*) AS n FROM lineitem)),
+  SELECT DISTINCT greatest(0, CAST(ceil(i / {bins}.0::DOUBLE * n - 1) AS BIGINT)) AS p
+  FROM range(1, {bins} + 1) t(i), (SELECT count(*) AS n FROM lineitem)),
 placed AS (SELECT f, feature, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS p FROM num),
 quantiles AS MATERIALIZED (
   SELECT f, feature, row_number() OVER (PARTITION BY f ORDER BY p) - 1 AS idx, x AS q FROM placed JOIN positions USING (p))"""
-ORACLE["exact_quantiles"] = f"WITH {QUANTILES} SELECT feature, idx, round(q, 6) AS q FROM quantiles"
+
+
+ORACLE["exact_quantiles"] = f"WITH {quantiles(1000)} SELECT feature, idx, round(q, 6) AS q FROM quantiles"
 # Per distinct value: the first quantile not below it, and the map of its segment.
-SCALED = f"""
-{QUANTILES},
+SEGMENTS = """
 segments AS (
   SELECT f, idx, q, coalesce(lag(q) OVER w, lo) AS x1, idx / CAST(count(*) OVER (PARTITION BY f) AS DOUBLE) AS y1,
     (idx + 1) / CAST(count(*) OVER (PARTITION BY f) AS DOUBLE) AS y2
@@ -189,7 +191,7 @@ scaled AS MATERIALIZED (
     THEN (y2 - y1) / (s.q - x1) * (hit.x - x1) + y1 ELSE y1 END AS y
   FROM hit LEFT JOIN segments s ON s.f = hit.f AND s.idx = hit.idx)"""
 ORACLE["uniform_scale"] = f"""
-WITH {SCALED} SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+WITH {quantiles(1000)}, {SEGMENTS} SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
   round(src.l_extendedprice, 6) AS price, round(a.y, 6) AS l_quantity, round(b.y, 6) AS l_extendedprice,
   round(c.y, 6) AS l_discount, round(d.y, 6) AS l_tax
 FROM src JOIN scaled a ON a.f = 0 AND a.x = l_quantity JOIN scaled b ON b.f = 1 AND b.x = src.l_extendedprice
@@ -435,3 +437,233 @@ ORACLE["order_categories"] = f"""
 WITH {customers("CASE WHEN c_acctbal < 1000 THEN 0 WHEN c_acctbal < 6000 THEN 1 ELSE 2 END")}
 SELECT CAST(0 AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin,
   row_number() OVER (ORDER BY CASE WHEN t < 1 THEN 1 ELSE 0 END, round(e, 12), bin) - 1 AS rank FROM per_bin WHERE f = 1"""
+
+# ---- trees -----------------------------------------------------------------------------------
+
+U = ("coalesce(sum(u) FILTER (cls = 0), 0) AS u0, coalesce(sum(u) FILTER (cls = 1), 0) AS u1, "
+     "coalesce(sum(u) FILTER (cls = 2), 0) AS u2, coalesce(sum(freq), 0) AS freq")
+MEASURES = f"{bits('sum(u)', f'sum({xlogx(chr(117))})')} AS e, {U}"
+PURE = "greatest(u0, u1, u2) / (u0 + u1 + u2) >= 1"
+NODE_OUT = (
+    "CAST(node AS BIGINT) AS node_id, CAST(parent AS BIGINT) AS parent_id, CAST(level AS BIGINT) AS level, "
+    "CAST(f AS BIGINT) AS split_feature, leaf AS is_leaf, round(gain, 6) AS gain, round(e, 6) AS impurity, "
+    "CAST(freq AS DOUBLE) AS freq, round(u0, 3) AS u0, round(u1, 3) AS u1, round(u2, 3) AS u2"
+)
+NODE_COLUMNS = "node, parent, level, path, e, u0, u1, u2, freq"
+
+
+def multi_tree(depth: int) -> str:
+    """All nodes of a multi-way tree as `nodes`, and `fired0`.. with the nodes each row reaches per level."""
+    ctes = ["fired0 AS MATERIALIZED (SELECT rid, cls, 1 AS node, 1.0::DOUBLE AS act FROM src)"]
+    parts = []
+    for v in range(depth):
+        used = "" if v == 0 else f"JOIN open{v} o ON o.node = x.node AND NOT list_contains(o.used, m.f)"
+        ctes.append(f"""st{v} AS MATERIALIZED (
+  SELECT x.node, m.f, m.bin, m.cls, sum(x.act * m.mu) AS u, count(*) AS freq FROM fired{v} x JOIN mus m ON m.rid = x.rid {used} GROUP BY ALL)""")
+        if v == 0:
+            ctes.append(f"""open0 AS MATERIALIZED (
+  SELECT 1 AS node, 0 AS parent, 0 AS level, '' AS path, CAST([] AS INTEGER[]) AS used, {MEASURES}
+  FROM (SELECT cls, sum(u) AS u, sum(freq) AS freq FROM st0 WHERE f = 0 GROUP BY cls))""")
+        start = "2" if v == 0 else f"(SELECT max(node) + 1 FROM ch{v - 1})"
+        ctes.append(f"""pb{v} AS MATERIALIZED (SELECT node, f, bin, floor(sum(u) + 0.000001::DOUBLE) AS w, {MEASURES} FROM st{v} GROUP BY node, f, bin),
+ga{v} AS (SELECT p.node, p.f, any_value(o.e) - sum(p.e * w) / sum(w) AS gain FROM pb{v} p JOIN open{v} o USING (node) GROUP BY p.node, p.f HAVING sum(w) > 0),
+be{v} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, f) AS place FROM ga{v} WHERE gain >= 0.000001::DOUBLE),
+de{v} AS MATERIALIZED (
+  SELECT o.*, b.f, b.gain, (b.f IS NULL OR b.gain <= 0 OR {PURE}) AS leaf FROM open{v} o LEFT JOIN be{v} b ON b.node = o.node AND place = 1),
+sp{v} AS MATERIALIZED (
+  SELECT d.*, nb, name, {start} + coalesce(sum(nb) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM de{v} d JOIN plan USING (f) WHERE NOT leaf),
+ch{v} AS MATERIALIZED (
+  SELECT *, ({v + 1} = {depth} OR e <= 0 OR freq <= 1 OR u0 + u1 + u2 <= 0) AS leaf FROM (
+    SELECT s.first + k AS node, s.node AS parent, {v + 1} AS level,
+      concat(CASE WHEN s.path = '' THEN '' ELSE concat(s.path, ' and ') END, name, ' = ', k) AS path, list_append(s.used, s.f) AS used,
+      coalesce(p.e, 0) AS e, coalesce(p.u0, 0) AS u0, coalesce(p.u1, 0) AS u1, coalesce(p.u2, 0) AS u2, coalesce(p.freq, 0) AS freq
+    FROM sp{v} s JOIN range(5) t(k) ON k < nb LEFT JOIN pb{v} p ON p.node = s.node AND p.f = s.f AND p.bin = k)),
+open{v + 1} AS MATERIALIZED (SELECT {NODE_COLUMNS.replace("path", "path, used")} FROM ch{v} WHERE NOT leaf),
+fired{v + 1} AS MATERIALIZED (
+  SELECT x.rid, x.cls, s.first + m.bin AS node, x.act * m.mu AS act FROM fired{v} x JOIN sp{v} s ON s.node = x.node JOIN mus m ON m.rid = x.rid AND m.f = s.f)""")
+        parts.append(f"SELECT {NODE_COLUMNS}, CASE WHEN leaf THEN NULL ELSE f END AS f, CASE WHEN leaf THEN NULL ELSE gain END AS gain, leaf FROM de{v}")
+        parts.append(f"SELECT {NODE_COLUMNS}, NULL, NULL, leaf FROM ch{v} WHERE leaf")
+    ctes.append(f"nodes AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+    return ",\n".join(ctes)
+
+
+def confidences(levels: list[str]) -> str:
+    """Class confidences of every row from the leaves it reached in the given tables of (rid, node, act)."""
+    reached = " UNION ALL ".join(f"SELECT rid, node, act FROM {t}" for t in levels)
+    share = ", ".join(
+        f"sum(act * CASE WHEN u0 + u1 + u2 > 0 THEN u{j} / (u0 + u1 + u2) ELSE 0 END) AS score{j}" for j in range(3)
+    )
+    later = "round(score{}, 12) >= round(score{}, 12)"
+    return f"""
+sums AS (SELECT rid, {share} FROM ({reached}) JOIN (SELECT * FROM nodes WHERE leaf) USING (node) GROUP BY rid),
+scored AS MATERIALIZED (
+  SELECT src.*, score0, score1, score2, CASE WHEN score0 IS NULL THEN -1
+    WHEN {later.format(2, 1)} AND {later.format(2, 0)} THEN 2 WHEN {later.format(1, 0)} THEN 1 ELSE 0 END AS prediction
+  FROM src LEFT JOIN sums USING (rid))"""
+
+
+DEPTH = 3
+MULTI = f"{FUZZY}, {multi_tree(DEPTH)}"
+MULTI_SCORED = f"{MULTI}, {confidences([f'fired{v}' for v in range(DEPTH + 1)])}"
+SCORES_OUT = (
+    f"{KEY_OUT}, round(score0, 6) AS score0, round(score1, 6) AS score1, round(score2, 6) AS score2, "
+    "CAST(prediction AS BIGINT) AS prediction"
+)
+ORACLE["multi_tree_nodes"] = f"WITH {MULTI} SELECT {NODE_OUT} FROM nodes"
+ORACLE["multi_scores"] = f"WITH {MULTI_SCORED} SELECT {SCORES_OUT} FROM scored"
+ORACLE["multi_scores_joined"] = f"WITH {MULTI_SCORED} " + " UNION ALL ".join(
+    f"SELECT {KEY_OUT}, CAST({j} AS BIGINT) AS label, round(score{j}, 6) AS score FROM scored" for j in range(3)
+)
+
+
+def binary_tree(depth: int, minimum: bool = False) -> str:
+    """All nodes of a binary tree as `nodes`, and its splits as `sp0`.. per level."""
+
+    def norm(x: str, y: str) -> str:
+        return f"least({x}, {y})" if minimum else f"{x} * {y}"
+
+    ctes = [
+        "fired0 AS MATERIALIZED (SELECT rid, cls, 1 AS node, 1.0::DOUBLE AS act, CAST([] AS INTEGER[]) AS crossed FROM src)",
+        "al0 AS MATERIALIZED (SELECT 0 AS node, 0 AS f, CAST([] AS BIGINT[]) AS bins WHERE false)",
+    ]
+    parts = []
+    for v in range(depth):
+        only = "" if v == 0 else f"JOIN open{v} o ON o.node = x.node"
+        ctes.append(f"""st{v} AS MATERIALIZED (
+  SELECT x.node, m.f, m.bin, m.cls, sum({norm("x.act", "CASE WHEN a.bins IS NULL THEN m.mu ELSE 1.0::DOUBLE END")}) AS u, count(*) AS freq
+  FROM fired{v} x {only} JOIN mus m ON m.rid = x.rid LEFT JOIN al{v} a ON a.node = x.node AND a.f = m.f
+  WHERE a.bins IS NULL OR list_contains(a.bins, m.bin) GROUP BY ALL)""")
+        if v == 0:
+            ctes.append(f"""open0 AS MATERIALIZED (
+  SELECT 1 AS node, 0 AS parent, 0 AS level, '' AS path, {MEASURES}
+  FROM (SELECT cls, sum(u) AS u, sum(freq) AS freq FROM st0 WHERE f = 0 GROUP BY cls))""")
+
+        def side(s: str) -> str:
+            measure = bits(f"sum({s}u)", f"sum({xlogx(s + 'u')})")
+            each = ", ".join(f"coalesce(sum({s}u) FILTER (cls = {j}), 0) AS {s}{j}" for j in range(3))
+            return f"{measure} AS {s}e, floor(sum({s}u) + 0.000001::DOUBLE) AS {s}w, sum({s}f) AS {s}freq, {each}"
+
+        ctes.append(f"""us{v} AS MATERIALIZED (
+  SELECT o.node, p.f, p.nb, coalesce(a.bins, range(p.nb)) AS bins FROM open{v} o CROSS JOIN plan p LEFT JOIN al{v} a ON a.node = o.node AND a.f = p.f),
+ca{v} AS MATERIALIZED (
+  SELECT node, f, k AS split, list_filter(bins, lambda b: b <= k) AS lb FROM us{v}, range(5) t(k) WHERE f < 4 AND list_contains(bins, k) AND k < list_max(bins)
+  UNION ALL SELECT node, f, code - 1, lb FROM (
+    SELECT node, f, bins, code, list_reverse_sort(list_filter(range(nb), lambda b: (code >> b) & 1 = 1)) AS lb FROM us{v}, range(1, 8) t(code) WHERE f > 3 AND code < 2 ** (nb - 1))
+  WHERE list_has_all(bins, lb) AND len(lb) < len(bins)),
+si{v} AS (
+  SELECT c.node, c.f, c.split, c.lb, s.cls, coalesce(sum(u) FILTER (list_contains(lb, s.bin)), 0) AS lu, coalesce(sum(u) FILTER (NOT list_contains(lb, s.bin)), 0) AS ru,
+    coalesce(sum(freq) FILTER (list_contains(lb, s.bin)), 0) AS lf, coalesce(sum(freq) FILTER (NOT list_contains(lb, s.bin)), 0) AS rf
+  FROM ca{v} c JOIN st{v} s ON s.node = c.node AND s.f = c.f GROUP BY c.node, c.f, c.split, c.lb, s.cls),
+ga{v} AS (SELECT node, f, split, lb, {side("l")}, {side("r")} FROM si{v} GROUP BY node, f, split, lb),
+be{v} AS (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, f, split) AS place FROM (
+    SELECT g.*, o.e - (le * lw + re * rw) / (lw + rw) AS gain FROM ga{v} g JOIN open{v} o USING (node) WHERE lw + rw > 0) WHERE gain >= 0.000001::DOUBLE),
+de{v} AS MATERIALIZED (
+  SELECT o.*, b.* EXCLUDE (node, place), (b.f IS NULL OR b.gain <= 0 OR {PURE}) AS leaf FROM open{v} o LEFT JOIN be{v} b ON b.node = o.node AND place = 1),
+sp{v} AS MATERIALIZED (SELECT * FROM de{v} WHERE NOT leaf),
+ch{v} AS MATERIALIZED (
+  SELECT *, ({v + 1} = {depth} OR e <= 0 OR freq < 1 OR u0 + u1 + u2 <= 0) AS leaf FROM (
+    SELECT 2 * node AS node, node AS parent, {v + 1} AS level, '' AS path, le AS e, l0 AS u0, l1 AS u1, l2 AS u2, lfreq AS freq FROM sp{v}
+    UNION ALL SELECT 2 * node + 1, node, {v + 1}, '', re, r0, r1, r2, rfreq FROM sp{v})),
+open{v + 1} AS MATERIALIZED (SELECT {NODE_COLUMNS} FROM ch{v} WHERE NOT leaf),
+al{v + 1} AS MATERIALIZED (
+  SELECT 2 * s.node + side AS node, a.f, a.bins FROM sp{v} s JOIN al{v} a ON a.node = s.node AND a.f <> s.f, range(2) t(side)
+  UNION ALL SELECT 2 * s.node, s.f, s.lb FROM sp{v} s
+  UNION ALL SELECT 2 * s.node + 1, s.f, list_filter(u.bins, lambda b: NOT list_contains(s.lb, b)) FROM sp{v} s JOIN us{v} u ON u.node = s.node AND u.f = s.f),
+hi{v} AS MATERIALIZED (
+  SELECT x.rid, x.cls, x.node, x.act, x.crossed, s.f, count(*) AS fired, count(*) FILTER (list_contains(s.lb, m.bin)) AS inside,
+    coalesce(sum(m.mu) FILTER (list_contains(s.lb, m.bin)), 0) AS lmu, coalesce(sum(m.mu) FILTER (NOT list_contains(s.lb, m.bin)), 0) AS rmu
+  FROM fired{v} x JOIN sp{v} s ON s.node = x.node JOIN mus m ON m.rid = x.rid AND m.f = s.f GROUP BY ALL),
+fired{v + 1} AS MATERIALIZED (
+  SELECT rid, cls, 2 * node + side AS node,
+    CASE WHEN inside IN (0, fired) OR list_contains(crossed, f) THEN act WHEN side = 0 THEN {norm("act", "lmu")} ELSE {norm("act", "rmu")} END AS act,
+    CASE WHEN inside IN (0, fired) OR list_contains(crossed, f) THEN crossed ELSE list_append(crossed, f) END AS crossed
+  FROM hi{v}, range(2) t(side) WHERE (side = 0 AND inside > 0) OR (side = 1 AND inside < fired))""")
+        parts.append(f"SELECT {NODE_COLUMNS}, CASE WHEN leaf THEN NULL ELSE f END AS f, CASE WHEN leaf THEN NULL ELSE gain END AS gain, leaf, CASE WHEN leaf THEN NULL ELSE lb END AS lb FROM de{v}")
+        parts.append(f"SELECT {NODE_COLUMNS}, NULL, NULL, leaf, NULL FROM ch{v} WHERE leaf")
+    ctes.append(f"nodes AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+    return ",\n".join(ctes)
+
+
+def binary_paths(depth: int) -> str:
+    """Scoring routes: `go0`.. with what each row remembers per column (-2 nothing, -1 the right side)."""
+    ctes = ["go0 AS MATERIALIZED (SELECT rid, 1 AS node, 1.0::DOUBLE AS act, CAST([-2, -2, -2, -2, -2, -2] AS BIGINT[]) AS mem FROM src)"]
+    for v in range(depth):
+        note = "list_concat(list_concat(mem[1:f], [{}]), mem[f + 2:6])"
+        ctes.append(f"""at{v} AS MATERIALIZED (
+  SELECT *, mem[f + 1] AS known, round(coalesce(s, 0), 12) AS deg FROM (
+    SELECT x.rid, x.node, x.act, x.mem, p.f, p.lb, sum(m.mu) FILTER (list_contains(p.lb, m.bin)) AS s, max(m.bin) FILTER (list_contains(p.lb, m.bin)) AS top
+    FROM go{v} x JOIN sp{v} p ON p.node = x.node JOIN mus m ON m.rid = x.rid AND m.f = p.f GROUP BY ALL)),
+go{v + 1} AS MATERIALIZED (
+  SELECT rid, 2 * node AS node, CASE WHEN known = -2 AND deg < 1 THEN act * deg ELSE act END AS act,
+    CASE WHEN (known = -2 AND deg < 1) OR known = -1 THEN {note.format("top")} ELSE mem END AS mem
+  FROM at{v} WHERE (known < 0 AND deg > 0) OR (known >= 0 AND list_contains(lb, known))
+  UNION ALL
+  SELECT rid, 2 * node + 1, CASE WHEN known = -2 AND deg > 0 THEN act * (1 - deg) ELSE act END,
+    CASE WHEN known = -2 AND deg > 0 THEN {note.format("-1")} ELSE mem END
+  FROM at{v} WHERE (known = -2 AND deg < 1) OR (known = -1 AND deg = 0) OR (known >= 0 AND NOT list_contains(lb, known)))""")
+    return ",\n".join(ctes)
+
+
+LISTING = "array_to_string(lb, ',') AS listing"
+ORACLE["binary_tree_nodes"] = f"WITH {FUZZY}, {binary_tree(DEPTH)} SELECT {NODE_OUT}, {LISTING} FROM nodes"
+ORACLE["binary_tree_nodes_min"] = f"WITH {FUZZY}, {binary_tree(DEPTH, True)} SELECT {NODE_OUT}, {LISTING} FROM nodes"
+BINARY_SCORED = f"{FUZZY}, {binary_tree(DEPTH)}, {binary_paths(DEPTH)}, {confidences([f'go{v}' for v in range(DEPTH + 1)])}"
+ORACLE["binary_scores"] = f"WITH {BINARY_SCORED} SELECT {SCORES_OUT} FROM scored"
+ORACLE["tree_rules"] = f"""
+WITH {MULTI} SELECT path AS rule, round(u0 + u1 + u2, 3) AS u, CAST(freq AS DOUBLE) AS freq FROM nodes WHERE leaf AND freq > 0"""
+SIZES = """
+count(*) FILTER ({filled} OR level = 0) AS nodes, count(*) FILTER (leaf AND freq > 0) AS leaves, CAST(max(level) AS BIGINT) AS max_depth,
+CAST(min(level) FILTER (leaf) AS BIGINT) AS min_depth, round(avg(level) FILTER (leaf AND {filled}), 6) AS avg_depth FROM nodes"""
+ORACLE["tree_stats"] = f"WITH {MULTI} SELECT {SIZES.format(filled='freq > 0')}"
+ORACLE["tree_stats_binary"] = f"WITH {FUZZY}, {binary_tree(DEPTH)} SELECT {SIZES.format(filled='true')}"
+
+# ---- evaluation ------------------------------------------------------------------------------
+
+MATRIX = """
+matrix AS MATERIALIZED (
+  SELECT l AS label, p AS prediction, count(rid) AS n FROM range(3) a(l) CROSS JOIN range(3) b(p)
+  LEFT JOIN scored ON cls = l AND scored.prediction = p GROUP BY l, p),
+recalls AS (SELECT label, sum(n) FILTER (label = prediction) / CAST(sum(n) AS DOUBLE) AS recall FROM matrix GROUP BY label)"""
+ACCURACY = "sum(n) FILTER (label = prediction) / CAST(sum(n) AS DOUBLE)"
+MEASURED = f"""
+measured AS (SELECT (SELECT {ACCURACY} FROM matrix) AS accuracy, product(recall) ** (1.0::DOUBLE / 3) AS geometric_mean,
+  avg(recall) AS mean_recall FROM recalls)"""
+ORACLE["confusion_matrix"] = f"WITH {MULTI_SCORED}, {MATRIX} SELECT label, prediction, n FROM matrix"
+ORACLE["accuracy_stats"] = f"""
+WITH {MULTI_SCORED}, {MATRIX}, {MEASURED} SELECT round(accuracy, 6) AS accuracy, round(geometric_mean, 6) AS geometric_mean,
+  round(mean_recall, 6) AS mean_recall FROM measured"""
+ORACLE["accuracy_report"] = f"""
+WITH {MULTI_SCORED}, {MATRIX}, {MEASURED} SELECT 'Accuracy rate' AS measure, round(accuracy, 6) AS value FROM measured
+UNION ALL SELECT 'Geometric mean', round(geometric_mean, 6) FROM measured
+UNION ALL SELECT 'Avg. accuracy per class', round(mean_recall, 6) FROM measured"""
+ORACLE["confusion_report"] = f"""
+WITH {MULTI_SCORED}, {MATRIX} SELECT label, {", ".join(f"CAST(sum(n) FILTER (prediction = {j}) AS BIGINT) AS p{j}" for j in range(3))}
+FROM matrix GROUP BY label"""
+ORACLE["error_rate"] = f"""
+WITH {MULTI_SCORED} SELECT round(avg(CASE WHEN cls <> prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS error_rate FROM scored"""
+ORACLE["model_summary"] = f"""
+WITH {MULTI}, sizes AS (SELECT {SIZES.format(filled='freq > 0')})
+SELECT measure, CAST(value AS DOUBLE) AS value FROM (
+  VALUES ('Fuzzy sets', 20), ('Fuzzy sets per numeric feature', 5), ('Discarded features', 0), ('Most fuzzy sets of a feature', 5),
+    ('Fewest fuzzy sets of a kept feature', 5)) s(measure, value)
+UNION ALL SELECT 'Nodes', CAST(nodes AS DOUBLE) FROM sizes UNION ALL SELECT 'Leaves', CAST(leaves AS DOUBLE) FROM sizes
+UNION ALL SELECT 'Maximum depth', CAST(max_depth AS DOUBLE) FROM sizes UNION ALL SELECT 'Minimum depth', CAST(min_depth AS DOUBLE) FROM sizes
+UNION ALL SELECT 'Average depth', avg_depth FROM sizes"""
+ORACLE["examples_round_trip"] = f"""
+WITH {SRC} SELECT CAST(cls AS BIGINT) AS cls, count(*) AS n,
+  {", ".join(f"round(sum({c}), 2) AS sum_{c}" for c in NUMERIC)}, CAST(sum(flag) AS BIGINT) AS sum_l_returnflag,
+  CAST(sum(status) AS BIGINT) AS sum_l_linestatus, CAST(0 AS BIGINT) AS sum_year_digits FROM src GROUP BY cls"""
+# The study: the fuzzy sets lie evenly on [0, 1] and are met by the scaled values.
+UNIT_SETS = """
+cores AS (SELECT f, k AS bin, k * 0.25::DOUBLE AS b FROM range(4) a(f), range(5) t(k)),
+sets AS MATERIALIZED (SELECT f, bin, lag(b) OVER w AS a, b, lead(b) OVER w AS c FROM cores WINDOW w AS (PARTITION BY f ORDER BY b)),
+scaled_num AS MATERIALIZED (SELECT rid, cls, f, y AS x FROM num JOIN scaled USING (f, x))"""
+STUDY = (
+    f"{quantiles(100)}, {SEGMENTS}, {UNIT_SETS}, "
+    f"{MUS.replace('num.f', 'scaled_num.f').replace('FROM num JOIN', 'FROM scaled_num JOIN')}, {PLAN}, {multi_tree(2)}"
+)
+ORACLE["fit_and_evaluate_nodes"] = f"WITH {STUDY} SELECT {NODE_OUT} FROM nodes"
+ORACLE["fit_and_evaluate_confusion"] = f"""
+WITH {STUDY}, {confidences([f"fired{v}" for v in range(3)])}, {MATRIX} SELECT label, prediction, n FROM matrix"""

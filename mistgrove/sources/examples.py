@@ -26,7 +26,7 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
         "line_no",
         F.regexp_extract("line", ATTRIBUTE_LINE, 1).alias("name"),
         F.regexp_extract("line", ATTRIBUTE_LINE, 2).alias("type"),
-        F.transform(F.split(F.regexp_extract("line", ATTRIBUTE_LINE, 3), ","), F.trim).alias("parts"),
+        F.transform(F.split(F.regexp_extract("line", ATTRIBUTE_LINE, 3), ","), lambda v: F.trim(v)).alias("parts"),
     )
     if declared.filter("name = ''").limit(1).count():
         raise ValueError(f"a line with @attribute in {path} cannot be parsed")
