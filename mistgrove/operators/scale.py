@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import constant, let, rank_of
+from mistgrove.functions.lookup import constant, double_array, let, rank_of
 from mistgrove.storage import spread
 
 
@@ -22,9 +22,7 @@ def range_edges(df: DataFrame, cols: list[str], buckets: int, rows: int, seed: i
         return {c: [] for c in cols}
     share = min(1.0, 16.0 * buckets / max(rows, 1))
     sample = df if share == 1.0 else df.sample(False, share, seed)
-    probes = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 64 else F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / F.lit(float(buckets))
-    )
+    probes = double_array([i / buckets for i in range(1, buckets)])
     found = sample.agg(
         *[F.percentile_approx(F.col(c).cast("double"), probes, 10 * buckets).alias(c) for c in cols]
     ).first()

@@ -22,7 +22,7 @@ def skewed(rows, seed):
     return [(draw.randrange(3), 7.0 if i % 3 == 0 else round(draw.random() ** 3 * 100, 2)) for i in range(rows)]
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 64])
+@pytest.mark.parametrize("buckets", [1, 7, 300])
 @pytest.mark.parametrize("bins", [4, 100])
 def test_exact_quantiles(spark, buckets, bins):
     values = [x for _, x in skewed(2000, 3)]
