@@ -91,7 +91,7 @@ def rule_violations(spark, folder):
     """Rows breaking each validation rule, with one category and one class declared too few."""
     df, features = model_inputs(spark, folder)
     narrowed = [nominal(f.name, f.arity - 1) if f.kind == "nominal" else f for f in features]
-    return tidy(encode.violations(df, narrowed, "cls", CLASSES - 1))
+    return tidy(encode.violations(df, narrowed, "cls", CLASSES - 1).drop("rows"))
 
 
 # ---- fuzzy sets and t-norms ------------------------------------------------------------------
@@ -514,7 +514,7 @@ def running_bins(spark, folder):
     """Class sums on both sides of every cut of the numeric columns."""
     found, features = _root_stats(spark, folder, binary=True)
     all_slots = splits.slots(found, _root_node(found), features, CLASSES, 32).filter("kind = 'numeric'")
-    sides = splits.running_bins(all_slots, splits.order_categories(all_slots, CLASSES))
+    sides = splits.running_bins(all_slots, CLASSES)
     return tidy(sides.drop("node_id", "left_bins"), l_u=3, r_u=3)
 
 

@@ -35,7 +35,7 @@ def drop_features(df: DataFrame, attributes: DataFrame, dropped: DataFrame) -> t
 
 
 def violations(df: DataFrame, features: list[Feature], label: str, classes: int) -> DataFrame:
-    """One row (rule, bad) per rule, all counted in a single pass.
+    """One row (rows, rule, bad) per rule, all counted in a single pass over the `rows` rows.
 
     Rules: numeric null or NaN, nominal code outside 0..arity-1, label outside 0..classes-1.
     """
@@ -48,9 +48,9 @@ def violations(df: DataFrame, features: list[Feature], label: str, classes: int)
             rules[f"{f.name}: code outside 0..{f.arity - 1}"] = x.isNull() | (x < 0) | (x >= f.arity)
     y = F.col(label)
     rules[f"{label}: class outside 0..{classes - 1}"] = y.isNull() | (y < 0) | (y >= classes)
-    counted = df.agg(*[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])
+    counted = df.agg(F.count("*").alias("rows"), *[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])
     named = [F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("bad")) for i, rule in enumerate(rules)]
-    return counted.select(F.inline(F.array(*named)))
+    return counted.select("rows", F.inline(F.array(*named)))
 
 
 def validate(df: DataFrame, features: list[Feature], label: str, classes: int) -> int:
@@ -58,10 +58,11 @@ def validate(df: DataFrame, features: list[Feature], label: str, classes: int) -
     missing = [c for c in [*(f.name for f in features), label] if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing from the input: {missing}")
-    rows = df.count()
+    found = violations(df, features, label, classes).collect()
+    rows = found[0]["rows"]
     if rows == 0:
         raise ValueError("the input is empty")
-    bad = [f"{r.rule}: {r.bad} rows" for r in violations(df, features, label, classes).filter("bad > 0").collect()]
+    bad = [f"{r.rule}: {r.bad} rows" for r in found if r.bad]
     if bad:
         raise ValueError("invalid input: " + "; ".join(bad))
     return rows

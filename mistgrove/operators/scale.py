@@ -59,7 +59,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], bins: int = 1000, buckets: i
     rows = df.count()
     positions = quantile_positions(rows, bins)
     if buckets is None:
-        buckets = min(8 * bins, max(1, rows // 1000))
+        buckets = min(8 * bins, max(1, rows // 50_000))
     df = spread(df.select(*cols), rows)
     edges = range_edges(df, cols, buckets, rows)
     long = melt(df, cols, edges)

@@ -67,7 +67,8 @@ def multi_gains(stats: DataFrame, nodes: DataFrame, classes: int, min_gain: floa
     """(node_id, feature, gain, parts): the one multi-way split each column allows.
 
     `parts` maps every non-empty bin to its class sums and impurity. `nodes` gives the impurity
-    of each node. A gain that is too small, or undefined as all weights are 0, is null.
+    of each node; pass it through `small_side`. A gain that is too small, or undefined as all
+    weights are 0, is null.
     """
     per_bin = stats.groupBy("node_id", "feature", "bin").agg(*class_arrays(classes)).withColumns({
         "impurity": entropy(F.col("u")), "weight": whole_weight(array_total(F.col("u"))),
@@ -88,8 +89,14 @@ def best_split_multi(stats: DataFrame, nodes: DataFrame, classes: int, min_gain:
 
 
 def slots(stats: DataFrame, nodes: DataFrame, features: list[Feature], classes: int, max_bins: int) -> DataFrame:
-    """(node_id, feature, kind, bin, label, u, freq): the sums of every bin a node may still use, zeros included."""
-    opened = nodes.select("node_id", "allowed", F.inline(plan_constant(features, classes, max_bins)))
+    """(node_id, feature, kind, bin, label, u, freq): the sums of every bin a node may still use, zeros included.
+
+    Laid out by node, so that the orders and running sums below need no exchange. `stats` is
+    no larger than the grid it fills; pass it through `small_side`.
+    """
+    opened = nodes.select("node_id", "allowed").repartition("node_id").select(
+        "*", F.inline(plan_constant(features, classes, max_bins))
+    )
     every = F.sequence(F.lit(0), F.col("bins") - 1)
     usable = opened.withColumn("usable", F.coalesce(F.try_element_at("allowed", F.col("feature")), every))
     labels = F.sequence(F.lit(0), F.lit(classes - 1))
@@ -99,59 +106,65 @@ def slots(stats: DataFrame, nodes: DataFrame, features: list[Feature], classes:
     return grid.join(stats, ["node_id", "feature", "bin", "label"], "left").fillna(0, ["u", "freq"])
 
 
-def order_categories(slots_: DataFrame, classes: int) -> DataFrame:
-    """(node_id, feature, bin, rank, left_bins): the order in which bins are cut.
+def with_order(slots_: DataFrame, classes: int) -> DataFrame:
+    """Add (rank, left_bins): the order in which the bins of a column are cut.
 
     Numeric bins keep their order. Categories are ordered by entropy with more than two classes,
     by their largest class with two; those whose whole weight is 0 come last; ties by bin.
     `left_bins` are the bins up to and including this one.
     """
-    per_bin = slots_.groupBy("node_id", "feature", "kind", "bin").agg(*class_arrays(classes))
-    largest = F.array_position("u", F.array_max("u")).cast("double") - 1
-    centroid = F.round(entropy(F.col("u")), 12) if classes > 2 else largest
-    weightless = whole_weight(array_total(F.col("u"))) == 0
-    key = F.when(F.col("kind") == "numeric", F.col("bin").cast("double")).when(~weightless, centroid)
-    order = Window.partitionBy("node_id", "feature").orderBy(F.col("key").asc_nulls_last(), "bin")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return per_bin.withColumn("key", key).select(
-        "node_id", "feature", "bin", (F.row_number().over(order) - 1).alias("rank"),
-        F.collect_list("bin").over(upto).alias("left_bins"),
-    )
+    per_bin = Window.partitionBy("node_id", "feature", "bin")
+    total = F.sum("u").over(per_bin)
+    if classes > 2:
+        centroid = F.round(entropy_from_sums(total, F.sum(xlogx(F.col("u"))).over(per_bin)), 12)
+    else:
+        centroid = F.max(F.struct("u", (-F.col("label")).alias("y"))).over(per_bin)["y"] * F.lit(-1.0)
+    key = F.when(F.col("kind") == "numeric", F.col("bin").cast("double")).when(whole_weight(total) != 0, centroid)
+    place = F.struct(F.coalesce("key", F.lit(float("inf"))).alias("key"), F.col("bin").alias("bin"))
+    every = F.array_sort(F.collect_set(place).over(Window.partitionBy("node_id", "feature")))
+    return slots_.withColumn("key", key).withColumns({"place": place, "every": every}).withColumn(
+        "rank", F.array_position("every", F.col("place")).cast("int") - 1
+    ).withColumn("left_bins", F.slice("every", 1, F.col("rank") + 1)["bin"]).drop("key", "place", "every")
+
+
+def order_categories(slots_: DataFrame, classes: int) -> DataFrame:
+    """(node_id, feature, bin, rank, left_bins): the same, one row per bin."""
+    ordered = with_order(slots_, classes).filter("label = 0")
+    return ordered.select("node_id", "feature", "bin", "rank", "left_bins")
 
 
-def running_bins(slots_: DataFrame, order: DataFrame) -> DataFrame:
+def running_bins(slots_: DataFrame, classes: int) -> DataFrame:
     """Cut candidates with the class sums of both sides: running sums along the bin order.
 
     The right side is summed from the other end, so a class that is absent there is exactly 0.
     """
-    ordered = slots_.join(order, ["node_id", "feature", "bin"])
     window = Window.partitionBy("node_id", "feature", "label").orderBy("rank")
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     after = window.rowsBetween(1, Window.unboundedFollowing)
     sums = {f"{side}_{c}": F.sum(c).over(w) for side, w in (("l", upto), ("r", after)) for c in ("u", "freq")}
+    ordered = with_order(slots_, classes)
     return ordered.withColumns(sums).filter(F.col("r_u").isNotNull()).select(
         "node_id", "feature", F.col("rank").alias("split"), "left_bins", "label", *sums
     )
 
 
-def subset_candidates(slots_: DataFrame, features: list[Feature]) -> DataFrame:
+def subset_candidates(slots_: DataFrame, features: list[Feature], unordered: list[int]) -> DataFrame:
     """Subset candidates of unordered columns with the class sums of both sides.
 
     A subset must lie within the node's usable categories and leave at least one out.
     """
-    spark = slots_.sparkSession
-    arity = spark.createDataFrame(
-        [(i, f.arity) for i, f in enumerate(features) if f.kind == "nominal"], "feature int, bins int"
+    arity = slots_.sparkSession.createDataFrame(
+        [(i, features[i].arity) for i in unordered], "feature int, bins int"
     )
-    usable = slots_.groupBy("node_id", "feature").agg(F.collect_set("bin").alias("usable"))
+    usable = F.collect_set("bin").over(Window.partitionBy("node_id", "feature"))
     fits = (F.size(F.array_except("left_bins", "usable")) == 0) & (F.size("left_bins") < F.size("usable"))
-    subsets = usable.join(F.broadcast(subset_splits(arity)), "feature").filter(fits).drop("usable")
+    subsets = F.broadcast(subset_splits(arity))  # unordered columns have at most max_bins / 2 subsets
     inside = F.array_contains("left_bins", F.col("bin"))
     sums = {
         f"{side}_{c}": F.sum(F.when(hit, F.col(c)).otherwise(0)).alias(f"{side}_{c}")
         for side, hit in (("l", inside), ("r", ~inside)) for c in ("u", "freq")
     }
-    return slots_.join(subsets, ["node_id", "feature"]).groupBy(
+    return slots_.withColumn("usable", usable).join(subsets, "feature").filter(fits).groupBy(
         "node_id", "feature", "split", "left_bins", "label"
     ).agg(*sums.values())
 
@@ -189,9 +202,10 @@ def candidate_gains_binary(
     sides = None
     if present & {"numeric", "ordered"}:
         cut = all_slots.filter(F.col("kind").isin(sorted(present & {"numeric", "ordered"})))
-        sides = running_bins(cut, order_categories(cut, classes))
+        sides = running_bins(cut, classes)
     if "unordered" in present:
-        parted = subset_candidates(all_slots.filter("kind = 'unordered'"), features)
+        unordered = [i for i, f in enumerate(features) if split_kind(f, classes, max_bins) == "unordered"]
+        parted = subset_candidates(all_slots.filter("kind = 'unordered'"), features, unordered)
         sides = parted if sides is None else sides.unionByName(parted)
     if sides is None:
         raise ValueError(f"no column is split by {kinds}")

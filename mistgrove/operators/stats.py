@@ -51,8 +51,11 @@ def node_stats(routed: DataFrame, tnorm: str = "product", binary: bool = False)
         F.struct(F.col("low").alias("bin"), F.col("u0").alias("u"), F.col("f0").alias("freq")),
         F.struct((F.col("low") + 1).alias("bin"), F.col("u1").alias("u"), F.col("f1").alias("freq")),
     )
+    # Laid out by node: all later sums and rankings are per node and need no further exchange.
+    # A node has at most bins x classes rows here, however many rows of data it holds.
     return (
-        folded.select("node_id", "feature", "label", F.inline(halves)).filter("freq > 0")
+        folded.repartition("node_id")
+        .select("node_id", "feature", "label", F.inline(halves)).filter("freq > 0")
         .groupBy(*STATS_KEYS).agg(F.sum("u").alias("u"), F.sum("freq").alias("freq"))
     )
 

@@ -25,6 +25,9 @@ from mistgrove.storage import settle, small_side, spread
 #: which costs less than storing them.
 KEEP_BYTES = 4 << 30
 
+#: Chosen splits carry class sums of their children; only so many are sent to every executor.
+WIDE_ROWS = 5_000
+
 PATH = "array<struct<feature:int,bins:array<int>,inside:boolean>>"
 ALLOWED = "map<int,array<int>>"
 NODE_COLUMNS = [
@@ -168,7 +171,8 @@ def train_tree(
         fuzzy = spread(fuzzy, rows).persist(StorageLevel.MEMORY_AND_DISK)
     state = ["coords", "label"]
     route, descend = (route_binary, descend_binary) if binary else (route_multi, descend_multi)
-    levels: list[tuple[DataFrame, int]] = []  # splits of each level and their number
+    all_bins = sum(f.bins for f in features)
+    levels: list[tuple[DataFrame, int]] = []  # splits of each level and a bound on their number
     finished: list[DataFrame] = []
     open_nodes, open_count, next_id = None, 1, 2
     for level in range(options.max_depth + 1):
@@ -192,11 +196,14 @@ def train_tree(
             stats = settle(stats)
         if level == 0:
             open_nodes = settle(_root(stats, classes))
+        parents = small_side(open_nodes.select("node_id", "impurity", "allowed"), open_count)
         if binary:
-            best = best_split_binary(stats, open_nodes, features, classes, max_bins, options.min_gain)
+            sums = small_side(stats, open_count * all_bins * classes)
+            best = best_split_binary(sums, parents, features, classes, max_bins, options.min_gain)
             best = best.drop("split")
         else:
-            best = best_split_multi(stats, open_nodes, classes, options.min_gain)
+            best = best_split_multi(stats, parents, classes, options.min_gain)
+        best = small_side(best, open_count, WIDE_ROWS)
         decided = settle(_numbered(_decide(open_nodes, best, options), features, binary, next_id))
         finished.append(decided)
         split = decided.filter(~F.col("is_leaf"))
@@ -204,16 +211,13 @@ def train_tree(
             _binary_children(split, features, options) if binary
             else _multi_children(split, features, classes, options)
         )
-        found = children.agg(
-            F.count("*").alias("all"), F.count_if(~F.col("is_leaf")).alias("open"),
-            F.count_distinct("parent_id").alias("split"),
-        ).first()
+        found = children.agg(F.count("*").alias("all"), F.count_if(~F.col("is_leaf")).alias("open")).first()
         finished.append(children.filter("is_leaf"))
         if found.open == 0:
             break
         next_id += found["all"]
         columns = ["node_id", "split_feature", "left_bins" if binary else "first_child"]
-        levels.append((split.select(*columns), found.split))
+        levels.append((split.select(*columns), found["all"]))
         open_nodes, open_count = children.filter(~F.col("is_leaf")).drop("is_leaf"), found.open
     nodes = None
     for part in finished:

@@ -39,7 +39,7 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread(df: DataFrame, rows: int, worth: int = 100_000) -> DataFrame:
+def spread(df: DataFrame, rows: int, worth: int = 50_000) -> DataFrame:
     """Deal out a table that came in fewer pieces than there are cores (one small file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if rows < worth or df.rdd.getNumPartitions() >= cores:
