@@ -24,7 +24,7 @@ from mistgrove.plans.partitioning import fuzzy_partition
 from mistgrove.plans.trees import ALLOWED, TreeModel, train_binary, train_multi
 from mistgrove.sources import examples, reports
 from mistgrove.sources.examples import read_table
-from mistgrove.storage import shared_folder
+from mistgrove.storage import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,7 +383,7 @@ def _root_stats(spark, folder, binary: bool = False) -> tuple[DataFrame, list[Fe
     rows = rows.withColumns({
         "used": F.array().cast("array<int>"), "allowed": F.create_map().cast(ALLOWED),
     })
-    return stats.node_stats(rows, binary=binary), features
+    return settle(stats.node_stats(rows, binary=binary)), features  # read more than once
 
 
 def _root_node(root_stats: DataFrame, classes: int = CLASSES) -> DataFrame:
@@ -485,7 +485,7 @@ def _customer_nodes(spark, folder) -> tuple[DataFrame, list[Feature]]:
     coded = df.withColumn("c_mktsegment", encode.code_of(F.col("c_mktsegment"), segments))
     features = [nominal("c_mktsegment", len(segments)), nominal("c_nationkey", 25)]
     rows = at_root(binning.with_coords(coded, features, "label"), "label")
-    return stats.node_stats(rows.withColumn("allowed", F.create_map().cast(ALLOWED)), binary=True), features
+    return settle(stats.node_stats(rows.withColumn("allowed", F.create_map().cast(ALLOWED)), binary=True)), features
 
 
 @query
@@ -504,7 +504,7 @@ def order_categories(spark, folder):
     )
     features = [nominal("c_nationkey", 25)]
     rows = at_root(binning.with_coords(df, features, "label"), "label")
-    found = stats.node_stats(rows.withColumn("allowed", F.create_map().cast(ALLOWED)), binary=True)
+    found = settle(stats.node_stats(rows.withColumn("allowed", F.create_map().cast(ALLOWED)), binary=True))
     all_slots = splits.slots(found, _root_node(found), features, CLASSES, 8)
     return tidy(splits.order_categories(all_slots, CLASSES).select("feature", "bin", "rank"))
 

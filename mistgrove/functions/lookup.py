@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to this many values a search is compiled into nested comparisons.
 CASE_LIMIT = 64
 
+#: Expressions with more comparisons than this are computed outside the fused stage.
+FUSED_COMPARISONS = 40
+
 
 def double_array(values: Sequence[float]) -> Column:
     """An array<double> constant. One string keeps plan building cheap; Catalyst folds it."""
@@ -54,3 +57,22 @@ def rank_of(x: Column, values: Sequence[float], inclusive: bool = False) -> Colu
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with `value` evaluated once."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def apart(values: Column, comparisons: int) -> Column:
+    """An array whose elements take so many comparisons, kept out of the fused stage if they are many.
+
+    An identity `transform` has no fused code. Its projection is then generated as many small
+    methods instead of one that is too long for the JVM to compile.
+    """
+    return F.transform(values, lambda v: v) if comparisons > FUSED_COMPARISONS else values
+
+
+def opened(df: DataFrame, keep: list, parts: list[Column], comparisons: int) -> DataFrame:
+    """Each row once per struct in `parts`, with its fields as columns.
+
+    The outer form spares the optimizer's extra filter on the array's size, which would compute
+    the structs a second time.
+    """
+    rows = df.select(*keep, apart(F.array(*parts), comparisons).alias("__parts"))
+    return rows.select(*[c for c in rows.columns if c != "__parts"], F.inline_outer("__parts"))

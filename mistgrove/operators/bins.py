@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mistgrove.features import Feature
-from mistgrove.functions.lookup import CASE_LIMIT, constant, decide, double_array, let, rank_of
-#: Coordinates with more comparisons than this are computed outside the fused stage.
-FUSED_COMPARISONS = 40
-
+from mistgrove.functions.lookup import CASE_LIMIT, apart, constant, decide, double_array, let, rank_of
 
 def uniform_cores(sets: int) -> list[float]:
     """`sets` evenly spaced cores on [0, 1]."""
@@ -67,15 +64,9 @@ def upper_degree(coord: Column) -> Column:
 
 
 def with_coords(df: DataFrame, features: list[Feature], *keep) -> DataFrame:
-    """The kept columns and `coords`, one coordinate per feature in feature order.
-
-    With many comparisons the array goes through an identity `transform`. That takes the
-    projection out of the fused stage, so that it is generated as many small methods instead
-    of one that is too long for the JVM to compile.
-    """
-    coords = F.array(*[coordinate(f) for f in features])
-    if sum(len(f.cores) + 2 for f in features) > FUSED_COMPARISONS:
-        coords = F.transform(coords, lambda c: c)
+    """The kept columns and `coords`, one coordinate per feature in feature order."""
+    comparisons = sum(len(f.cores) + 2 for f in features)
+    coords = apart(F.array(*[coordinate(f) for f in features]), comparisons)
     return df.select(*keep, coords.alias("coords"))
 
 

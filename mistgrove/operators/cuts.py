@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import rank_of
+from mistgrove.functions.lookup import opened, rank_of
 from mistgrove.operators.scale import melt, range_edges
 
+#: Candidate cuts of all columns together that are still sent to every task (8 bytes each).
+MOST_CUTS = 4_000_000
+
 EQUAL_WIDTH = "equal_width"
 EQUAL_FREQUENCY = "equal_frequency"
 
@@ -166,7 +169,13 @@ def candidate_cuts(
 
 
 def cut_lists(cuts: DataFrame) -> dict[str, list[float]]:
-    """The cuts of each column in order: at most blocks * (splits + 2) values per column."""
+    """The cuts of each column in order: at most blocks * (splits + 2) values per column.
+
+    They become constants of the counting pass, so there must not be too many of them.
+    """
+    total = cuts.count()
+    if total > MOST_CUTS:
+        raise ValueError(f"{total} candidate cuts are too many: use fewer blocks or fewer bins")
     found: dict[str, list[float]] = {}
     for r in cuts.orderBy("feature", "bin").collect():
         found.setdefault(r.feature, []).append(r.cut)
@@ -190,7 +199,6 @@ def contingency(df: DataFrame, label: str, cuts: dict[str, list[float]], strateg
         else:
             place = rank_of(x, edges)
         parts.append(F.struct(F.lit(name).alias("feature"), place.cast("int").alias("bin")))
-    return (
-        df.select(F.col(label).alias("label"), F.inline(F.array(*parts)))
-        .groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
-    )
+    searched = 0 if strategy == EQUAL_WIDTH else sum(len(v) for v in cuts.values())
+    long = opened(df, [F.col(label).alias("label")], parts, searched)
+    return long.groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import constant, double_array, let, rank_of
+from mistgrove.functions.lookup import constant, double_array, let, opened, rank_of
 from mistgrove.storage import spread
 
 
@@ -41,7 +41,7 @@ def melt(df: DataFrame, cols: list[str], edges: dict[str, list[float]], *keep) -
     ]
     doubled = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
     kept = [c for c in doubled.columns if c not in cols]
-    return doubled.select(*kept, F.inline(F.array(*parts)))
+    return opened(doubled, kept, parts, sum(len(v) for v in edges.values()))
 
 
 def quantile_positions(rows: int, bins: int) -> list[int]:

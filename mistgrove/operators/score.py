@@ -17,6 +17,9 @@ from mistgrove.storage import small_side
 #: Trees of at most this many nodes are sent to the tasks whole.
 INLINE_NODES = 100_000
 
+#: The same for nodes x bins, the size of the table of left bins.
+INLINE_CELLS = 50_000_000
+
 MEMORY = "map<int,int>"
 
 
@@ -162,7 +165,8 @@ def score_table(
     df: DataFrame, model: TreeModel, keep: list[str], keys: list[str] | None = None, inline_nodes: int = INLINE_NODES
 ) -> DataFrame:
     """The kept columns, `scores` (one confidence per class) and `prediction` for every row."""
-    if model.nodes.count() <= inline_nodes:
+    nodes = model.nodes.count()
+    if nodes <= inline_nodes and nodes * max(f.bins for f in model.features) <= INLINE_CELLS:
         scored = with_coords(df, model.features, *keep).withColumn("scores", scores_in_place(model)("coords")).drop("coords")
     else:
         if not keys:

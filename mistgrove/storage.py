@@ -39,9 +39,12 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread(df: DataFrame, rows: int, worth: int = 50_000) -> DataFrame:
-    """Deal out a table that came in fewer pieces than there are cores (one small file, say)."""
+def spread(df: DataFrame, rows: int, worth: int = 50_000, most: int = 20_000_000) -> DataFrame:
+    """Deal out a small table that came in fewer pieces than there are cores (one file, say).
+
+    Tables above `most` rows are never shuffled for this: they come in enough pieces.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows < worth or df.rdd.getNumPartitions() >= cores:
+    if not worth <= rows <= most or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)

@@ -15,7 +15,7 @@ from mistgrove.operators.bins import with_coords
 from mistgrove.operators.describe import tree_rules, tree_stats
 from mistgrove.operators.encode import validate
 from mistgrove.operators.evaluate import accuracy_stats, confusion_matrix, error_rate
-from mistgrove.operators.route import at_root
+from mistgrove.operators.route import at_root, descend_multi, root_split
 from mistgrove.operators.score import predict_class, score_rows, score_table
 from mistgrove.operators.stats import node_stats
 from mistgrove.plans.trees import train_binary, train_multi
@@ -138,7 +138,6 @@ def test_scores_against_recursion(spark, binary, tnorm):
     keep = ["f0", "f1", "label"]
     scored = {(r.f0, r.f1): r for r in score_table(df, model, keep).collect()}
     joined = {(r.f0, r.f1): r for r in score_table(df, model, keep, ["f0", "f1"], inline_nodes=0).collect()}
-    reused = False
     for key, r in scored.items():
         want = walk(nodes, key, FUZZY, norm)
         assert r.scores == pytest.approx(want, abs=1e-9)
@@ -247,3 +246,19 @@ def test_evaluation(spark):
     assert error_rate(scored).first().error_rate == pytest.approx(4 / 13)
     three = accuracy_stats(confusion_matrix(scored, 3)).first()
     assert three.accuracy == 0.75 and three.mean_recall != three.mean_recall and three.geometric_mean != three.geometric_mean
+
+
+def test_training_pass_is_one_fused_scan(spark, tmp_path):
+    """No Python, no nested loops, only the needed columns, and one exchange before the sums are small."""
+    wide = banded(spark, 50).withColumn("unused", F.lit("x"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    rows = at_root(with_coords(df, FUZZY, "label"), "label").withColumn("used", F.array().cast("array<int>"))
+    splits = spark.createDataFrame([(1, 0, 2)], "node_id bigint, split_feature int, first_child bigint")
+    limits = spark.createDataFrame([(k, [0]) for k in range(2, 8)], "node_id bigint, used array<int>")
+    below = descend_multi(root_split(rows.drop("used"), splits.first()), ["coords", "label"])
+    plan = node_stats(below.join(F.broadcast(limits), "node_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapIn" not in plan
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+    assert "ReadSchema: struct<label:int,f0:double,f1:double>" in plan
+    assert "partial_sum" in plan
