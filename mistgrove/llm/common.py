@@ -58,6 +58,11 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_limit(part: float) -> int:
+    """The 64-bit hash up to which lies this part of all hashes."""
+    return min(2**63 - 1, int(part * 2**64) - 2**63)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts (column number text, binary) of each hold about `most` bytes; a text stays whole."""
     for batch in batches:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mistgrove.llm.common import documents
+from mistgrove.llm import langid, toxicity
+from mistgrove.llm.common import documents, remainder
 from mistgrove.llm.exact import exact_groups
 from mistgrove.llm.mixing import mix
 from mistgrove.llm.resharding import reshard
 from mistgrove.llm.secrets import find_secrets
+from mistgrove.llm.tokens import token_counts
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,29 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from labelled rows whose crc32(doc_id) mod 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = toxicity.training_sample(docs, labels, remainder(F.col("doc_id"), 3) != 1, "doc_id", "text", "toxic")
+    return toxicity.fit(*sample)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_texts(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE tokens of all documents."""
+    import public_tokenizers
+
+    counted = token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From eight shards by source, very uneven, to eight of even bytes."""
     old = (F.crc32(F.col("source").cast("binary")) % 8).cast("int")
@@ -30,9 +55,17 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = documents(spark, sf_dir)
+    sample = langid.training_sample(docs, remainder(F.col("doc_id"), 4) != 2, "doc_id", "text", "lang")
+    return langid.identify(docs, langid.fit(*sample)).select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return find_secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_reshard, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op5_token_counts, op7_reshard, op9_language, op10_secrets)}
