@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mistgrove.llm import langid, toxicity
 from mistgrove.llm.common import documents, remainder
 from mistgrove.llm.exact import exact_groups
+from mistgrove.llm.jaccard import jaccard_groups
 from mistgrove.llm.mixing import mix
 from mistgrove.llm.resharding import reshard
 from mistgrove.llm.secrets import find_secrets
@@ -39,6 +40,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by 90 % of their three-word shingles."""
+    return jaccard_groups(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE tokens of all documents."""
     import public_tokenizers
@@ -68,4 +74,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op5_token_counts, op7_reshard, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op7_reshard, op9_language, op10_secrets)}
