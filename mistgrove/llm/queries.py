@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from mistgrove.llm import langid, toxicity
 from mistgrove.llm.common import documents, remainder
+from mistgrove.llm.decontaminate import find_leaks
 from mistgrove.llm.exact import exact_groups
 from mistgrove.llm.jaccard import jaccard_groups
+from mistgrove.llm.lm import score_corpus
 from mistgrove.llm.mixing import mix
 from mistgrove.llm.resharding import reshard
 from mistgrove.llm.secrets import find_secrets
@@ -53,6 +55,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from those whose crc32(doc_id) mod 7 is not 2."""
+    return score_corpus(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From eight shards by source, very uneven, to eight of even bytes."""
     old = (F.crc32(F.col("source").cast("binary")) % 8).cast("int")
@@ -61,6 +68,11 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = documents(spark, sf_dir)
@@ -74,4 +86,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op7_reshard, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op6_lm, op7_reshard, op8_decontaminate, op9_language, op10_secrets)}
