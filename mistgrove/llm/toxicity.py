@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mistgrove.llm.common import hash_limit, pieces
+from mistgrove.llm.common import pieces, stored
 
 #: n-gram lengths (words are padded by < and >), hash buckets, vector size.
 LENGTHS, BUCKETS, SIZE = (3, 4, 5, 6), 1 << 17, 4
@@ -24,31 +24,35 @@ SAMPLE, WINDOW, STRIDE = 2000, 8, 4
 #: Bytes of the longest text to learn from, so that the sample has a bound.
 LONGEST = 100_000
 #: Words whose scores a task keeps before it starts anew.
-HELD = 400_000
+HELD = 200_000
 
 
 def words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram buckets of all words one after the other, and where each word starts; every word has at least one.
+def grams(found: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram buckets of all words one after the other, and where each word starts; every word has at least one."""
+    parts = [some_grams(found[i : i + step]) for i in range(0, len(found), step)]
+    shifts = np.cumsum([0] + [len(b) for b, _ in parts])
+    return np.concatenate([b for b, _ in parts]), np.concatenate([s + shift for (_, s), shift in zip(parts, shifts, strict=False)])
 
-    Works on one array of all words' padded UTF-8 bytes.
-    """
+
+def some_grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a few words, by one array of their padded UTF-8 bytes."""
     padded = [b"<" + w.encode("utf-8", "replace") + b">" for w in found]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    room = np.repeat(ends, sizes) - np.arange(len(data))  # bytes left in the word from here
-    owner = np.repeat(np.arange(len(padded)), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes left in the word from here
+    owner = np.repeat(np.arange(len(padded), dtype=np.int32), sizes)
     kinds, owners = [], []
     for n in LENGTHS:
-        at = np.flatnonzero(room >= n) if n > LENGTHS[0] else np.flatnonzero((room >= n) | ((room == sizes[owner]) & (sizes[owner] < n)))
+        whole = (room == sizes[owner]) & (sizes[owner] < n) if n == LENGTHS[0] else False  # a word too short for any n-gram
+        at = np.flatnonzero((room >= n) | whole)
         hashed = np.full(len(at), n, np.uint64)
         for k in range(n):
             hashed = hashed * np.uint64(0x100000001B3) + data[np.minimum(at + k, len(data) - 1)]
-        kinds.append(((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+        kinds.append(((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
         owners.append(owner[at])
     buckets, owned = np.concatenate(kinds), np.concatenate(owners)
     order = np.argsort(owned, kind="stable")
@@ -191,30 +195,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, train: Column, key: str,
     """At most per_class different texts of each class, those of least text hash, in a fixed order.
 
     Rows without a label or text, and texts above LONGEST bytes, don't count. Copies count once: of repeated
-    texts the larger label holds.
+    texts the larger label holds. Only keys and hashes are joined; texts are read for the chosen alone.
     """
-    told = labels.where(F.col(label).isNotNull()).groupBy(F.col(key)).agg(F.max(label).alias("_label"))
-    rows = docs.where(train & F.col(text).isNotNull() & (F.octet_length(text) <= LONGEST)).join(told, key) \
-        .select(F.col("_label").alias("label"), F.xxhash64(F.col(text)).alias("order"), F.col(text).alias("text"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two classes
-    share = F.lit(False)
-    for kind, n in counts.items():
-        # hashes are even: three times the share wanted leaves enough after copies are gone; a small class gives all
-        part = min(1.0, 3 * per_class / n)
-        share |= (F.col("label") == kind) & (F.col("order") <= F.lit(hash_limit(part)))
-    chosen = rows.where(share).groupBy("order").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    texts, kinds, held = [], [], {}
-    for r in sorted(chosen.collect(), key=lambda r: r["order"]):
-        kind = int(r["label"] > 0)
-        if held.get(kind, 0) < per_class:
-            held[kind] = held.get(kind, 0) + 1
-            texts.append(r["text"])
-            kinds.append(kind)
-    return texts, kinds
-
-
-def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: key and the columns in keep, with score: the softmax share of toxic in the worst window.
+    told = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("label"))
+    usable = docs.where(train & F.col(text).isNotNull() & (F.octet_length(text) <= LONGEST)) \
+        .select(F.col(key).alias("key"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
+    kinds = stored(usable.select("key", "order").join(told, "key").groupBy("order").agg(F.max("label").alias("label"), F.min("key").alias("key")), "sample")
+    chosen = [kinds.where(F.col("label") == kind).orderBy("order").limit(per_class) for kind in (0, 1)]
+    rows = usable.join(F.broadcast(chosen[0].union(chosen[1])), ["key", "order"]).dropDuplicates(["order"]).collect()  # 2 * per_class at most
+    rows = sorted(rows, key=lambda r: r["order"])
+    return [r["text"] for r in rows], [r["label"] for r in rows]
+
+
+def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
+                name: str = "score") -> DataFrame:
+    """One row per document: key and the columns in keep, with (named by name) its score: the softmax share of toxic in the worst window.
 
     Whole texts are read, in windows, a batch of about 8 MB at a time. Null and empty texts score as a window that adds
     nothing. Repeated rows give repeated rows; an empty table gives an empty result. A task remembers the scores of
@@ -244,4 +239,4 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 
     read = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key), *others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[1:])
-    return read.mapInArrow(score, f"{fields}, _score double").withColumnRenamed("_score", "score")
+    return read.mapInArrow(score, f"{fields}, _score double").withColumnRenamed("_score", name)
