@@ -77,6 +77,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) ->
             yield batch.slice(start)
 
 
+def without(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose key is not among ids (one column); rows without a key stay. Texts are shuffled only where ids are many."""
+    ids = stored(ids.toDF("_id").where("_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, F.col(key) == F.col("_id"), "left_anti")
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, members: Column, total: int, share: int = 1000) -> DataFrame:
     """Left join rows with one row per group, whatever share of the rows a group holds.
 

@@ -68,6 +68,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     together. Null or empty texts have size 0 and take nothing; an empty table gives an empty one; columns of
     the input other than the three named are not looked at. Only the four small columns are stored.
     """
+    rows, limits, few = limits_by_source(docs, key, text, source, share, most, seed, broadcast_rows)
+    copies = copies_of(F.col("hash"))
+    return by_source(rows, limits, few).select(F.col("key").alias(key), F.col("source"), "size", "source_size", "target", "hash",
+                                               copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def copies_of(hashed: Column) -> Column:
+    """How often a document is taken, next to its source's columns copies and limit."""
+    return F.col("copies") + F.when(hashed <= F.col("limit"), 1).otherwise(0)
+
+
+def limits_by_source(docs: DataFrame, key: str, text: str, source: str, share: float, most: int, seed: str,
+                     broadcast_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows key, source, size, hash; per source its target, copies and limit; whether the sources are few."""
     rows = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
                               position(F.col(key), seed).alias("hash")), "mix-rows")
     aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
@@ -75,11 +89,21 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
                   .withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-aims")
     few = aims.count() <= broadcast_rows
     limits = thresholds(rows, aims.select("source", "rest"), few)
-    limit = by_source(aims, limits, few)
-    taken = by_source(rows, limit, few)
-    copies = F.col("copies") + F.when(F.col("hash") <= F.col("limit"), 1).otherwise(0)
-    return taken.select(F.col("key").alias(key), F.col("source"), "size", "source_size", "target", "hash", copies.alias("copies"),
-                        (F.col("size") * copies).cast("long").alias("taken"))
+    return rows, stored(by_source(aims, limits, few), "mix-limits"), few
+
+
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5,
+            most: int = 2, seed: str = "mix", broadcast_rows: int = 100_000) -> DataFrame:
+    """The documents themselves, all columns, each as often as the mix takes it. Texts aren't shuffled where sources are few.
+
+    Wordless documents are taken with their source's other documents under the threshold. Defined otherwise as mix.
+    """
+    _, limits, few = limits_by_source(docs, key, text, source, share, most, seed, broadcast_rows)
+    limits = limits.select(F.col("source").alias("_source"), "copies", "limit")
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(source).alias("_own"), position(F.col(key), seed).alias("_hash"))
+    met = whole.join(F.broadcast(limits) if few else limits, F.col("_own").eqNullSafe(F.col("_source")))
+    taken = met.withColumn("_n", copies_of(F.col("_hash"))).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select("_doc.*")
 
 
 def thresholds(rows: DataFrame, rests: DataFrame, few: bool) -> DataFrame:

@@ -74,8 +74,8 @@ def even(total: int, shards: int) -> dict[int, int]:
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, key: str = "doc_id", text: str = "text",
-            capacities: dict[int, int] | None = None) -> DataFrame:
-    """One row per document: key, size, text_crc32, old_shard, shard, slot.
+            capacities: dict[int, int] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: key, size, text_crc32, old_shard, shard, slot, and the columns in carry.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Capacities are even shares of all bytes unless given, and
     are met up to a block, at most 1 / SPLIT of a share or one document. Equal texts of an old shard lie in one block unless
@@ -84,20 +84,26 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, key: str = "doc
     as -1; an empty table gives an empty result; columns not named are not looked at.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = stored(docs.select(
-        F.col(key).alias("key"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"),
-        F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old")), "shard-rows")
+    measured = docs.select(
+        F.struct(*carry).alias("carried"), F.col(key).alias("key"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"),
+        F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old"))
+    rows = stored(measured.select("key", "size", "crc", "old"), "shard-rows")
     supplies = {r["old"]: r["bytes"] for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
     total = sum(supplies.values())
     capacities = capacities or even(total, shards)
     moves = flow(supplies, capacities)
     most = max(1, total // (len(capacities) * SPLIT))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("crc"), F.lit(BLOCKS)))
+    block = F.pmod(F.xxhash64("crc"), F.lit(BLOCKS))
+    rows = rows.withColumn("block", block)
     # blocks above the limit are fewer than capacities * SPLIT: few enough to broadcast
     large = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most) \
         .select("old", "block", F.ceil(2 * F.col("bytes") / most).cast("long").alias("parts"))
-    split = rows.join(F.broadcast(large), ["old", "block"], "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", "crc"), F.col("parts")))).drop("parts")
+
+    def parted(table: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(large), ["old", "block"], "left").withColumn(
+            "part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", "crc"), F.col("parts")))).drop("parts")
+
+    split = parted(rows)
     blocks = split.groupBy("old", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("old").orderBy("block", "part")  # blocks, never documents
     middle = F.sum("bytes").over(along) - F.col("bytes") / 2
@@ -110,11 +116,11 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, key: str = "doc
     order = Window.partitionBy("shard").orderBy("old", "block", "part")
     placed = stored(placed.select("old", "block", "part", "shard", (F.sum("n").over(order) - F.col("n")).alias("first")), "shard-blocks")
     inside = Window.partitionBy("old", "block", "part").orderBy("key", "crc")
-    numbered = split.withColumn("at", F.row_number().over(inside) - 1)
+    numbered = (parted(measured.withColumn("block", block)) if carry else split).withColumn("at", F.row_number().over(inside) - 1)
     # a row a block, of which there are at most (BLOCKS + 3 * SPLIT * new shards) per old shard
     return numbered.join(F.broadcast(placed), ["old", "block", "part"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"),
-        (F.col("first") + F.col("at")).cast("long").alias("slot"))
+        (F.col("first") + F.col("at")).cast("long").alias("slot"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> list[int]:
