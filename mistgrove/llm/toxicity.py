@@ -140,11 +140,12 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
 
     Vectors start at their n-grams' log odds along one direction and zero else. A round steps against the gradient of the mean
     log loss, classes weighed equally, scaled so that its largest entry is `rate`, which falls to zero: what
-    many texts agree on moves first. Every fourth text is held back for the softmax's scale and bias alone, since
+    many texts agree on moves first. Every fourth text of a class is held back for the softmax's scale and bias alone, since
     vectors fit their own texts too well to say what a score is worth.
     """
     told = np.array(toxic)
-    aside = np.arange(len(texts)) % 4 == 3
+    nth = np.where(told == 1, np.cumsum(told), np.cumsum(1 - told))  # within the class
+    aside = nth % 4 == 0
     bags, kinds = Bags([t for t, a in zip(texts, aside, strict=True) if not a]), told[~aside]
     weight = balance(kinds)
     random = np.random.default_rng(seed)
