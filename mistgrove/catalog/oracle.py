@@ -206,6 +206,11 @@ lasts AS (SELECT f, min(cut) AS c0, max(cut) AS c1 FROM cuts GROUP BY f),
 ct AS MATERIALIZED (
   SELECT f, feature, greatest(0, least(CAST(floor((x - c0) / (c1 - c0) * 32.0::DOUBLE) AS BIGINT), 31)) AS bin, cls AS label, count(*) AS n
   FROM num JOIN lasts USING (f) GROUP BY ALL)"""
+SAMPLED = f"{SRC}, {NUM}".replace("FROM src", """FROM src WHERE CAST('0x' || substr(md5('17|' || l_orderkey || '|' || l_partkey || '|'
+  || l_suppkey || '|' || l_linenumber), 1, 15) AS BIGINT) < 576460752303423488""")
+ORACLE["sampled_cuts"] = f"""
+WITH {SAMPLED}, {ENDS}, cuts AS (SELECT feature, CAST(k AS BIGINT) AS bin, lo + (hi - lo) / 32.0::DOUBLE * k AS cut FROM ends, range(33) t(k))
+SELECT feature, bin, round(cut, 6) AS cut FROM cuts"""
 ORACLE["equi_width_cuts"] = f"WITH {WIDTH} SELECT feature, bin, round(cut, 6) AS cut FROM cuts"
 
 
@@ -512,7 +517,7 @@ SCORES_OUT = (
 )
 ORACLE["multi_tree_nodes"] = f"WITH {MULTI} SELECT {NODE_OUT} FROM nodes"
 ORACLE["multi_scores"] = f"WITH {MULTI_SCORED} SELECT {SCORES_OUT} FROM scored"
-ORACLE["multi_scores_joined"] = f"WITH {MULTI_SCORED} " + " UNION ALL ".join(
+ORACLE["multi_scores_staged"] = f"WITH {MULTI_SCORED} " + " UNION ALL ".join(
     f"SELECT {KEY_OUT}, CAST({j} AS BIGINT) AS label, round(score{j}, 6) AS score FROM scored" for j in range(3)
 )
 
@@ -611,6 +616,9 @@ ORACLE["binary_tree_nodes"] = f"WITH {FUZZY}, {binary_tree(DEPTH)} SELECT {NODE_
 ORACLE["binary_tree_nodes_min"] = f"WITH {FUZZY}, {binary_tree(DEPTH, True)} SELECT {NODE_OUT}, {LISTING} FROM nodes"
 BINARY_SCORED = f"{FUZZY}, {binary_tree(DEPTH)}, {binary_paths(DEPTH)}, {confidences([f'go{v}' for v in range(DEPTH + 1)])}"
 ORACLE["binary_scores"] = f"WITH {BINARY_SCORED} SELECT {SCORES_OUT} FROM scored"
+ORACLE["binary_scores_staged"] = f"WITH {BINARY_SCORED} " + " UNION ALL ".join(
+    f"SELECT {KEY_OUT}, CAST({j} AS BIGINT) AS label, round(score{j}, 6) AS score FROM scored" for j in range(3)
+)
 ORACLE["tree_rules"] = f"""
 WITH {MULTI} SELECT path AS rule, round(u0 + u1 + u2, 3) AS u, CAST(freq AS DOUBLE) AS freq FROM nodes WHERE leaf AND freq > 0"""
 SIZES = """

@@ -285,7 +285,7 @@ def merged_cuts(spark, folder):
 def sampled_cuts(spark, folder):
     """Evenly spaced cuts from a sample of the rows."""
     df = read_table(spark, folder, "lineitem")
-    return tidy(cutting.candidate_cuts(df, NUMERIC, cutting.EQUAL_WIDTH, WIDTH_SPLITS, fraction=0.5))
+    return tidy(cutting.candidate_cuts(df, NUMERIC, cutting.EQUAL_WIDTH, WIDTH_SPLITS, fraction=0.5, sample_key=KEY[:4]))
 
 
 def _counts(spark, folder, strategy: str) -> tuple[DataFrame, DataFrame]:
@@ -562,10 +562,10 @@ def multi_scores(spark, folder):
 
 
 @query
-def multi_scores_joined(spark, folder):
-    """The same by joins with the node table, as used for trees too large to send out."""
+def multi_scores_staged(spark, folder):
+    """The same in stages of a few nodes, as used for trees too large to send out whole."""
     df, model = _multi_tree(spark, folder)
-    scored = score.score_table(df, model, KEY, KEY, inline_nodes=0)
+    scored = score.score_table(df, model, KEY, stage_nodes=20)
     return tidy(score.score_rows(scored, *KEY))
 
 
@@ -587,6 +587,13 @@ def binary_scores(spark, folder):
     return _scores(*_binary_tree(spark, folder))
 
 
+@query
+def binary_scores_staged(spark, folder):
+    """The same in stages of a few nodes."""
+    df, model = _binary_tree(spark, folder)
+    return tidy(score.score_rows(score.score_table(df, model, KEY, stage_nodes=4), *KEY))
+
+
 @query
 def tree_rules(spark, folder):
     """One readable rule per leaf of the multi-way tree."""

@@ -27,13 +27,15 @@ def coordinate(feature: Feature) -> Column:
 
     A numeric value between cores k and k+1 has k plus its share of the way: it belongs to bin k
     with one minus that share and to bin k+1 with the share. A category has its code. Outer
-    values sit on the first or last core; a code that was not declared becomes -1.
+    values sit on the first or last core; a code that was not declared, a null and a NaN become -1:
+    they belong to no set, so a multi-way tree gives them no leaf and a binary one the right-hand side.
     """
     x = F.col(feature.name)
     if feature.kind == "nominal":
         known = (x >= 0) & (x < feature.arity)
         return F.when(known, x).otherwise(-1).cast("double")
     x, cores = x.cast("double"), feature.cores
+    none = x.isNull() | F.isnan(x)
     last = len(cores) - 1
 
     def leaf(passed: int) -> Column:
@@ -43,14 +45,14 @@ def coordinate(feature: Feature) -> Column:
         return F.lit(float(k)) + (x - F.lit(cores[k])) / F.lit(cores[k + 1] - cores[k])
 
     if len(cores) <= CASE_LIMIT:
-        return decide(x, cores, leaf, inclusive=True)
+        return F.when(none, -1.0).otherwise(decide(x, cores, leaf, inclusive=True))
     table = double_array(cores)
 
     def between(k: Column) -> Column:
         b, c = F.get(table, k), F.get(table, k + 1)
         return F.when(k < 0, 0.0).when(k == last, float(last)).otherwise(k + (x - b) / (c - b))
 
-    return let(rank_of(x, cores, inclusive=True) - 1, between)
+    return F.when(none, -1.0).otherwise(let(rank_of(x, cores, inclusive=True) - 1, between))
 
 
 def lower_bin(coord: Column) -> Column:

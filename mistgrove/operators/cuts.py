@@ -60,9 +60,16 @@ def fit_metadata(df: DataFrame, max_bins: int = 1000, min_ratio: float = 0.0) ->
     )
 
 
-def subsample(df: DataFrame, fraction: float, seed: int = 17) -> DataFrame:
-    """A sample without replacement, only for finding candidate cuts; all rows from fraction 1."""
-    return df if fraction >= 1.0 else df.sample(False, fraction, seed)
+def subsample(df: DataFrame, fraction: float, seed: int = 17, key: list[str] | None = None) -> DataFrame:
+    """A sample without replacement, only for finding candidate cuts; all rows from fraction 1.
+
+    A row is taken by the first 60 bits of the MD5 of seed and key columns (all columns unless named), so the sample
+    does not depend on how rows are laid out; rows of one key go together.
+    """
+    if fraction >= 1.0:
+        return df
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns])
+    return df.where(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") < F.lit(int(fraction * 16**15)))
 
 
 def equi_width_cuts(ends: DataFrame, splits: int) -> DataFrame:
@@ -155,10 +162,10 @@ def merge_cuts(cuts: DataFrame) -> DataFrame:
 
 def candidate_cuts(
     df: DataFrame, cols: list[str], strategy: str, splits: int, block: str | None = None, fraction: float = 1.0,
-    seed: int = 17,
+    seed: int = 17, sample_key: list[str] | None = None,
 ) -> DataFrame:
     """(feature, bin, cut) by the named strategy; equal frequency works per value of `block`."""
-    sample = subsample(df, fraction, seed)
+    sample = subsample(df, fraction, seed, sample_key)
     if strategy == EQUAL_WIDTH:
         return equi_width_cuts(min_max(sample, cols), splits)
     if strategy == EQUAL_FREQUENCY:

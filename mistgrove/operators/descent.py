@@ -1,8 +1,8 @@
-"""Vectorised descent of Arrow batches through a small tree: the task-side part of scoring.
+"""Vectorised descent of Arrow batches through part of a tree: the task-side part of scoring.
 
 A batch is a matrix of coordinates (rows x features). All places a row is at are kept as flat
-arrays (row, node, activation), stepped down together until only leaves are left, and summed
-back per row. Spark splits the table and carries the batches; nothing is shuffled.
+arrays (row, node, activation), stepped down together until they are at leaves or in nodes of a later
+part, and what leaves give is summed per row. Spark splits the table and carries the batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ FRESH, LOWER, UPPER, RIGHT = 0, 1, 2, 3  # what a row remembers of a column in a
 
 @dataclass(frozen=True)
 class FlatTree:
-    """A tree as arrays indexed by node; `left[i, b]` tells whether bin b goes left at node i."""
+    """A run of a tree's nodes, in order of their numbers, as arrays; `left[i, b]` tells whether bin b goes left at the i-th.
 
+    Children have larger numbers than their parent, so a descent goes through the runs one after the other.
+    """
+
+    number: np.ndarray  # of each node
     split: np.ndarray  # feature, -1 at leaves
-    child: np.ndarray  # first child
+    child: np.ndarray  # number of the first child
     share: np.ndarray  # nodes x classes
     left: np.ndarray | None  # binary trees only
     product: bool
@@ -72,19 +76,26 @@ def _binary_step(tree: FlatTree, coords: np.ndarray, row, node, act, memory):
     return tuple(np.concatenate(pair) for pair in zip(*parts))
 
 
-def descend_batch(tree: FlatTree, coords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Confidences (rows x classes) and whether any leaf fired, per row."""
-    rows, classes = len(coords), tree.share.shape[1]
-    scores, hit = np.zeros((rows, classes)), np.zeros(rows, bool)
-    state = [np.arange(rows), np.zeros(rows, np.int64), np.ones(rows)]
-    if tree.left is not None:
-        state.append(np.zeros((rows, coords.shape[1]), np.int8))
+def root_state(rows: int, features: int, binary: bool) -> list[np.ndarray]:
+    """All rows at the root, number 1: row, node, activation and, in a binary tree, what each remembers of every column."""
+    state = [np.arange(rows), np.ones(rows, np.int64), np.ones(rows)]
+    return [*state, np.zeros((rows, features), np.int8)] if binary else state
+
+
+def descend_batch(tree: FlatTree, coords: np.ndarray, state: list[np.ndarray], scores: np.ndarray, hit: np.ndarray) -> list[np.ndarray]:
+    """Follow all places through this run of nodes; add leaves to scores and hit, return the places beyond it."""
     step = _multi_step if tree.left is None else _binary_step
+    last = tree.number[-1] if len(tree.number) else -1
+    beyond = [[part[:0]] for part in state]
     while len(state[0]):
-        row, node, act = state[:3]
+        later = state[1] > last
+        for kept, part in zip(beyond, state):
+            kept.append(part[later])
+        row, node, act, *memory = (part[~later] for part in state)
+        node = np.searchsorted(tree.number, node)
         leaf = tree.split[node] < 0
         hit[row[leaf]] = True
-        for j in range(classes):
-            scores[:, j] += np.bincount(row[leaf], tree.share[node[leaf], j] * act[leaf], minlength=rows)
-        state = step(tree, coords, *(part[~leaf] for part in state))
-    return scores, hit
+        for j in range(scores.shape[1]):
+            scores[:, j] += np.bincount(row[leaf], tree.share[node[leaf], j] * act[leaf], minlength=len(scores))
+        state = step(tree, coords, *(part[~leaf] for part in (row, node, act, *memory)))
+    return [np.concatenate(parts) for parts in beyond]

@@ -49,14 +49,27 @@ def quantile_positions(rows: int, bins: int) -> list[int]:
     return sorted({max(0, math.ceil(i / bins * rows - 1)) for i in range(1, bins + 1)})
 
 
+def counted_numbers(df: DataFrame, cols: list[str]) -> int:
+    """The number of rows, after refusing columns with nulls or NaN."""
+    bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"bad{i}") for i, c in enumerate(cols)]
+    found = df.agg(F.count("*").alias("rows"), *bad).first()
+    wrong = [f"{c}: {found[f'bad{i}']} rows" for i, c in enumerate(cols) if found[f"bad{i}"]]
+    if wrong:
+        raise ValueError("null or NaN in " + "; ".join(wrong))
+    return found.rows
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], bins: int = 1000, buckets: int | None = None) -> DataFrame:
     """(feature, idx, q): the exact value at every quantile position of every column.
 
-    Two scans and no sort of the table. The first counts rows per value range; the running
-    counts show which ranges hold a wanted position. The second counts distinct values in those
+    No sort of the table, but up to four scans: one counts rows and refuses nulls and NaN, one draws
+    the sample that ranges come from, one counts rows per value range, so that the running
+    counts show which ranges hold a wanted position. The last counts distinct values in those
     ranges only (at most `bins` of the `buckets` ranges of a column) and walks each on its own.
     """
-    rows = df.count()
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, idx int, q double")
+    rows = counted_numbers(df, cols)
     positions = quantile_positions(rows, bins)
     if buckets is None:
         buckets = min(8 * bins, max(1, rows // 50_000))

@@ -8,171 +8,146 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mistgrove.functions.impurity import class_shares
-from mistgrove.functions.membership import tnorm as tnorm_named
-from mistgrove.operators.bins import lower_bin, upper_degree, with_coords
-from mistgrove.operators.descent import FlatTree, descend_batch
+from mistgrove.operators.bins import with_coords
+from mistgrove.operators.descent import FlatTree, descend_batch, root_state
 from mistgrove.plans.trees import TreeModel
-from mistgrove.storage import small_side
 
-#: Trees of at most this many nodes are sent to the tasks whole.
-INLINE_NODES = 100_000
+#: Nodes, and nodes x bins, that one stage of scoring holds; a larger tree takes more stages.
+STAGE_NODES, STAGE_CELLS = 100_000, 50_000_000
 
-#: The same for nodes x bins, the size of the table of left bins.
-INLINE_CELLS = 50_000_000
+#: What a row carries from one stage to the next: its places, what they remember, and the sums so far.
+STATE = "struct<node:array<bigint>,activation:array<double>,memory:array<tinyint>,scores:array<double>,hit:boolean>"
 
-MEMORY = "map<int,int>"
 
-
-def multi_children(coord: Column, state: Column, first_child: Column, tnorm: str) -> Column:
-    """Where a multi-way node sends a row, as an array of states: one child per fired bin."""
-    t = tnorm_named(tnorm)
-
-    def child(offset: Column, degree: Column) -> Column:
-        return F.struct(
-            (first_child + offset).alias("node_id"), t(state["activation"], degree).alias("activation")
-        )
-
-    b, up = lower_bin(coord), upper_degree(coord)
-    none = F.array().cast("array<struct<node_id:bigint,activation:double>>")
-    return (
-        F.when(up > 0, F.array(child(b, 1.0 - up), child(b + 1, up)))
-        .when(coord < 0, none).otherwise(F.array(child(b, F.lit(1.0))))
-    )
-
-
-def binary_children(
-    coord: Column, state: Column, feature: Column, left_bins: Column, first_child: Column, tnorm: str
-) -> Column:
-    """Where a binary node sends a row in scoring, as an array of states.
-
-    First use of a column: the memberships of the left bins sum to s. With s = 0 only the right
-    child fires, with s = 1 only the left, otherwise both with s and 1 - s, and the row remembers
-    for that column the left bin it fired (left) or -1 (right). Later uses leave the activation
-    alone: a remembered bin tells the side; -1 asks the memberships again, left when any fires.
-    """
-    t = tnorm_named(tnorm)
-    act, memory = state["activation"], state["memory"]
-    b, up = lower_bin(coord), upper_degree(coord)
-    low = F.array_contains(left_bins, b)
-    high = F.array_contains(left_bins, b + 1) & (up > 0)
-    s = F.round(F.when(low, 1.0 - up).otherwise(0.0) + F.when(high, up).otherwise(0.0), 12)
-    bin_left = F.when(high, b + 1).otherwise(b)
-    known = F.try_element_at(memory, feature)
-
-    def child(right: int, activation: Column, remember: Column | None = None) -> Column:
-        kept = memory
-        if remember is not None:
-            kept = F.map_concat(F.map_filter(memory, lambda k, _: k != feature), F.create_map(feature, remember))
-        return F.struct(
-            (first_child + right).alias("node_id"), activation.alias("activation"), kept.alias("memory")
-        )
-
-    both = F.array(child(0, t(act, s), bin_left), child(1, t(act, 1.0 - s), F.lit(-1)))
-    left, right = F.array(child(0, act)), F.array(child(1, act))
-    return (
-        F.when(known.isNull() & (s > 0) & (s != 1.0), both)
-        .when(known.isNull(), F.when(s > 0, left).otherwise(right))
-        .when(known != -1, F.when(F.array_contains(left_bins, known), left).otherwise(right))
-        .when(s > 0, F.array(child(0, act, bin_left))).otherwise(right)
-    )
-
-
-def start(binary: bool, node: int) -> Column:
-    """The state of a row at the root."""
-    fields = [F.lit(node).cast("bigint").alias("node_id"), F.lit(1.0).alias("activation")]
-    if binary:
-        fields.append(F.create_map().cast(MEMORY).alias("memory"))
-    return F.struct(*fields)
-
-
-def flat_tree(model: TreeModel) -> FlatTree:
-    """The nodes as arrays, renumbered densely (the tree is small: see `INLINE_NODES`)."""
-    nodes = model.nodes.withColumn("share", class_shares(F.col("u"))).select(
+def flat_tree(model: TreeModel, first: int, last: int) -> FlatTree:
+    """The nodes numbered first to last as arrays: as many as one stage holds."""
+    nodes = model.nodes.where(F.col("node_id").between(first, last)).withColumn("share", class_shares(F.col("u"))).select(
         "node_id", "split_feature", "first_child", "left_bins", "share"
     ).orderBy("node_id").collect()
-    place = {n.node_id: i for i, n in enumerate(nodes)}
     left = None
     if model.kind == "binary":
         left = np.zeros((len(nodes), max(f.bins for f in model.features)), bool)
         for i, n in enumerate(nodes):
             left[i, n.left_bins or []] = True
     return FlatTree(
-        np.array([-1 if n.split_feature is None else n.split_feature for n in nodes]),
-        np.array([place.get(n.first_child, -1) for n in nodes]),
-        np.array([n.share for n in nodes]), left, model.tnorm.lower() == "product",
+        np.array([n.node_id for n in nodes], np.int64),
+        np.array([-1 if n.split_feature is None else n.split_feature for n in nodes], np.int64),
+        np.array([-1 if n.first_child is None else n.first_child for n in nodes], np.int64),
+        np.array([n.share for n in nodes], np.float64).reshape(len(nodes), model.classes), left, model.tnorm.lower() == "product",
     )
 
 
-def scores_in_place(model: TreeModel):
+def runs(model: TreeModel, stage_nodes: int) -> list[tuple[int, int]]:
+    """First and last node number of runs of about half of, never more than, what a stage holds."""
+    most = max(1, min(stage_nodes, STAGE_CELLS // max(f.bins for f in model.features)))
+    span = model.nodes.agg(F.count("*").alias("n"), F.max("node_id").alias("last")).first()
+    if span.n <= most:
+        return [(1, span.last)]
+    # exact ranks by counting ranges of numbers, which are even enough after a few halvings
+    cut, ranges = [], [(1, span.last)]
+    while ranges:
+        edges = F.lit(None).cast("int")
+        for k, (lo, hi) in enumerate(ranges):
+            edges = F.when(F.col("node_id").between(lo, hi), k).otherwise(edges)
+        held = {r.part: r.n for r in model.nodes.groupBy(edges.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row a range
+        large = [r for k, r in enumerate(ranges) if held.get(k, 0) > most]
+        cut += [r for k, r in enumerate(ranges) if 0 < held.get(k, 0) <= most]
+        ranges = [half for lo, hi in large for half in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi))]
+    return sorted(cut)
+
+
+def scores_in_place(model: TreeModel, stage_nodes: int = STAGE_NODES):
     """A function of the `coords` column giving the class confidences, an array empty if no leaf fired.
 
-    It works on Arrow batches of a map-only stage, so it needs no row key and no shuffle and
+    It works on Arrow batches of map-only stages, so it needs no row key and no shuffle and
     serves streaming tables as well. A row opens into many leaves and closes again, which
     built-in operators can only do with a shuffle on a row key or with interpreted lambdas.
+    A tree of any size is scored the same way: nodes are numbered from the root down, a stage holds one run of them
+    (sent out as a broadcast), and rows carry the places that are beyond it to the next.
     """
-    tree, width = flat_tree(model), len(model.features)
-
-    @F.arrow_udf("array<double>")
-    def scores(coords: pa.Array) -> pa.Array:
-        matrix = coords.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        totals, hit = descend_batch(tree, matrix)
-        ends = np.concatenate([[0], np.cumsum(np.where(hit, totals.shape[1], 0))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(totals[hit].ravel()))
+    width, classes, binary = len(model.features), model.classes, model.kind == "binary"
+    context = model.nodes.sparkSession.sparkContext
+    trees = [context.broadcast(flat_tree(model, *run)) for run in runs(model, stage_nodes)]
+
+    def lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+    def matrix(coords: pa.Array) -> np.ndarray:
+        return coords.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    def packed(rows: int, state: list[np.ndarray], totals: np.ndarray, hit: np.ndarray) -> pa.StructArray:
+        order = np.argsort(state[0], kind="stable")
+        counts = np.bincount(state[0], minlength=rows)
+        memory = state[3][order].ravel() if binary else np.zeros(0, np.int8)
+        parts = [lists(counts, state[1][order]), lists(counts, state[2][order]), lists(counts * width * binary, memory),
+                 lists(np.full(rows, classes), totals.ravel()), pa.array(hit)]
+        return pa.StructArray.from_arrays(parts, names=["node", "activation", "memory", "scores", "hit"])
+
+    def unpacked(carried: pa.StructArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        node, activation, memory, totals, hit = carried.flatten()
+        rows = np.repeat(np.arange(len(carried)), node.value_lengths().to_numpy(zero_copy_only=False))
+        state = [rows, node.flatten().to_numpy(zero_copy_only=False), activation.flatten().to_numpy(zero_copy_only=False)]
+        if binary:
+            state.append(memory.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+        return state, totals.flatten().to_numpy(zero_copy_only=False).reshape(-1, classes).copy(), hit.to_numpy(zero_copy_only=False).copy()
+
+    def begin(rows: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        return root_state(rows, width, binary), np.zeros((rows, classes)), np.zeros(rows, bool)
+
+    def confidences(totals: np.ndarray, hit: np.ndarray) -> pa.ListArray:
+        return lists(np.where(hit, classes, 0), totals[hit].ravel())
+
+    def whole(tree):
+        @F.arrow_udf("array<double>")
+        def stage(coords: pa.Array) -> pa.Array:
+            state, totals, hit = begin(len(coords))
+            descend_batch(tree.value, matrix(coords), state, totals, hit)
+            return confidences(totals, hit)
+        return stage
+
+    def first(tree):
+        @F.arrow_udf(STATE)
+        def stage(coords: pa.Array) -> pa.Array:
+            state, totals, hit = begin(len(coords))
+            return packed(len(coords), descend_batch(tree.value, matrix(coords), state, totals, hit), totals, hit)
+        return stage
+
+    def middle(tree):
+        @F.arrow_udf(STATE)
+        def stage(coords: pa.Array, carried: pa.Array) -> pa.Array:
+            state, totals, hit = unpacked(carried)
+            return packed(len(coords), descend_batch(tree.value, matrix(coords), state, totals, hit), totals, hit)
+        return stage
+
+    def end(tree):
+        @F.arrow_udf("array<double>")
+        def stage(coords: pa.Array, carried: pa.Array) -> pa.Array:
+            state, totals, hit = unpacked(carried)
+            descend_batch(tree.value, matrix(coords), state, totals, hit)
+            return confidences(totals, hit)
+        return stage
+
+    if len(trees) == 1:
+        return whole(trees[0])
+
+    def scores(coords: Column | str) -> Column:
+        carried = first(trees[0])(coords)
+        for tree in trees[1:-1]:
+            carried = middle(tree)(coords, carried)
+        return end(trees[-1])(coords, carried)
 
     return scores
 
 
-def scores_by_join(fuzzy: DataFrame, model: TreeModel, keys: list[str]) -> DataFrame:
-    """(keys, scores) for trees too large to inline: each level is a join with that level's nodes.
-
-    `keys` must identify a row, since the confidences of its leaves are summed per key.
-    """
-    binary = model.kind == "binary"
-    nodes = model.nodes.withColumn("share", class_shares(F.col("u")))
-    per_level = {r.level: r["count"] for r in nodes.groupBy("level").count().collect()}
-    state = fuzzy.select(*keys, "coords", F.inline(F.array(start(binary, 1))))
-    carried = ["memory"] if binary else []
-    reached = None
-    for level in sorted(per_level):
-        here = nodes.filter(F.col("level") == level).select(
-            "node_id", "split_feature", "first_child", "left_bins", "share"
-        )
-        joined = state.join(small_side(here, per_level[level]), "node_id")
-        part = joined.filter("split_feature is null").select(*keys, "activation", "share")
-        reached = part if reached is None else reached.unionByName(part)
-        coord = F.get("coords", F.col("split_feature"))
-        if binary:
-            row = F.struct("activation", *carried)
-            down = binary_children(
-                coord, row, F.col("split_feature"), F.col("left_bins"), F.col("first_child"), model.tnorm
-            )
-        else:
-            down = multi_children(coord, F.struct("activation"), F.col("first_child"), model.tnorm)
-        state = joined.filter("split_feature is not null").select(*keys, "coords", F.inline(down))
-    summed = [F.sum(F.col("activation") * F.get("share", F.lit(j))) for j in range(model.classes)]
-    totals = reached.groupBy(*keys).agg(F.array(*summed).alias("scores"))
-    unfired = F.array().cast("array<double>")
-    return fuzzy.select(*keys).join(totals, keys, "left").withColumn("scores", F.coalesce("scores", unfired))
-
-
 def predict_class(scores: Column) -> Column:
     """The class of the highest score, the later one among equals; -1 when no leaf fired."""
     numbered = F.transform(scores, lambda v, j: F.struct(F.round(v, 12).alias("score"), j.alias("label")))
     return F.coalesce(F.array_max(numbered)["label"], F.lit(-1)).cast("int")
 
 
-def score_table(
-    df: DataFrame, model: TreeModel, keep: list[str], keys: list[str] | None = None, inline_nodes: int = INLINE_NODES
-) -> DataFrame:
+def score_table(df: DataFrame, model: TreeModel, keep: list[str], stage_nodes: int = STAGE_NODES) -> DataFrame:
     """The kept columns, `scores` (one confidence per class) and `prediction` for every row."""
-    nodes = model.nodes.count()
-    if nodes <= inline_nodes and nodes * max(f.bins for f in model.features) <= INLINE_CELLS:
-        scored = with_coords(df, model.features, *keep).withColumn("scores", scores_in_place(model)("coords")).drop("coords")
-    else:
-        if not keys:
-            raise ValueError("a tree this large is scored by joins: name the columns that identify a row")
-        fuzzy = with_coords(df, model.features, *keys)
-        scored = df.select(*dict.fromkeys([*keep, *keys])).join(scores_by_join(fuzzy, model, keys), keys)
+    scored = with_coords(df, model.features, *keep).withColumn("scores", scores_in_place(model, stage_nodes)("coords")).drop("coords")
     return scored.withColumn("prediction", predict_class(F.col("scores")))
 
 

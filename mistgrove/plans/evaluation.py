@@ -44,9 +44,11 @@ def fit_and_evaluate(
     """
     spark = train.sparkSession
     rows = attributes.orderBy("idx").collect()
-    label = next(r for r in rows if r.is_class)
+    label = next((r for r in rows if r.is_class), None)
+    if label is None or label.kind != "nominal":
+        raise ValueError("the attributes need one nominal class")
     inputs = attributes.filter("not is_class")
-    lower = {r.name: r.lo for r in rows if r.kind == "numeric"}
+    lower = {r.name: r.lo for r in rows if r.kind == "numeric" and not r.is_class}
     quantiles = quantile_lists(exact_quantiles(train, list(lower), bins))
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def fit_and_evaluate(
 
     fit = prepared(train)
     classes = len(label["values"])
-    if supervised:
+    if supervised and lower:
         cores = fuzzy_partition(fit, list(lower), label.name, classes)
         found = {r.feature: r.cores for r in cores.collect()}
     else:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mistgrove.features import numeric
 from mistgrove.operators.cores import best_cores, searchable_bins, split_segments
 from mistgrove.operators.cuts import (
     EQUAL_FREQUENCY, candidate_cuts, contingency, cut_lists, fit_sizes,
 )
+from mistgrove.operators.encode import validate
 from mistgrove.storage import settle, spread
 
 
@@ -33,18 +35,20 @@ def search_cores(bins: DataFrame, min_instances: int = 0, min_gain: float = 1e-6
 def fuzzy_partition(
     df: DataFrame, cols: list[str], label: str, classes: int, strategy: str = EQUAL_FREQUENCY,
     max_bins: int = 1000, min_gain: float = 1e-6, fraction: float = 1.0, min_ratio: float = 0.0,
-    block: str | None = None, seed: int = 17,
+    block: str | None = None, seed: int = 17, sample_key: list[str] | None = None,
 ) -> DataFrame:
     """(feature, cores): per numeric column its cores in order; an empty list discards the column.
 
     Candidate cuts come from the whole table (or a sample when `fraction` < 1), class counts
-    from the whole table. Cores are the first cut, the accepted ones and the last cut.
+    from the whole table. Cores are the first cut, the accepted ones and the last cut. Nulls, NaN and
+    labels outside the classes are counted in the pass that counts the rows, and raise.
     """
     if not cols:
         raise ValueError("no numeric column to partition")
-    sizes = fit_sizes(df.count(), max_bins, min_ratio)
+    checked = [numeric(c, [0.0, 1.0]) for c in cols]  # only names and kinds matter here
+    sizes = fit_sizes(validate(df, checked, label, classes), max_bins, min_ratio)
     df = spread(df, sizes.rows)
-    cuts = settle(candidate_cuts(df, cols, strategy, sizes.splits, block, fraction, seed))
+    cuts = settle(candidate_cuts(df, cols, strategy, sizes.splits, block, fraction, seed, sample_key))
     counts = contingency(df, label, cut_lists(cuts), strategy)
     found = search_cores(searchable_bins(cuts, counts, classes), sizes.min_instances, min_gain)
     points = cuts.withColumnRenamed("bin", "core")

@@ -181,7 +181,7 @@ def train_tree(
             routed = routed.withColumn("crossed", F.array().cast("array<int>"))
         for depth, (splits, count) in enumerate(levels):
             if depth == 0:
-                routed = descend(root_split(routed, splits.first()), state, tnorm)
+                routed = descend(root_split(routed, first_split), state, tnorm)
             else:
                 routed = route(routed, small_side(splits, count), tnorm)
         if level == 0:
@@ -217,6 +217,8 @@ def train_tree(
             break
         next_id += found["all"]
         columns = ["node_id", "split_feature", "left_bins" if binary else "first_child"]
+        if level == 0:
+            first_split = split.select(*columns).first()
         levels.append((split.select(*columns), found["all"]))
         open_nodes, open_count = children.filter(~F.col("is_leaf")).drop("is_leaf"), found.open
     nodes = None

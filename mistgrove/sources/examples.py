@@ -38,6 +38,11 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     named = [r.output for r in outputs.collect()]
     if not named:
         raise ValueError(f"{path} names no @outputs")
+    kinds = {r.name: r.type for r in declared.where(F.col("name") == named[-1]).select("name", "type").collect()}
+    if named[-1] not in kinds:
+        raise ValueError(f"@outputs of {path} names {named[-1]!r}, which is no @attribute")
+    if kinds[named[-1]]:
+        raise ValueError(f"the class {named[-1]!r} of {path} must be nominal")
     is_numeric = F.col("type") != ""
     position = F.row_number().over(Window.orderBy("line_no")) - 1  # a header has few lines
     return declared.select(
@@ -51,12 +56,15 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_examples(spark: SparkSession, path: str, attributes: DataFrame) -> DataFrame:
-    """Comma-separated rows without a header line, typed by the attributes; the class is a column like the others."""
+    """Comma-separated rows without a header line, typed by the attributes; the class is a column like the others.
+
+    A number that cannot be read ends the job; an empty field is null, which scaling and training refuse.
+    """
     fields = [
         T.StructField(r.name, T.DoubleType() if r.kind == "numeric" else T.StringType())
         for r in attributes.orderBy("idx").collect()
     ]
-    return spark.read.csv(path, schema=T.StructType(fields), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    return spark.read.csv(path, schema=T.StructType(fields), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -40,11 +40,11 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread(df: DataFrame, rows: int, worth: int = 50_000, most: int = 20_000_000) -> DataFrame:
-    """Deal out a small table that came in fewer pieces than there are cores (one file, say).
+    """Deal out a small table that came in fewer files than there are cores. Looking at the files starts no job.
 
     Tables above `most` rows are never shuffled for this: they come in enough pieces.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not worth <= rows <= most or df.rdd.getNumPartitions() >= cores:
+    if not worth <= rows <= most or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)

@@ -137,7 +137,7 @@ def test_scores_against_recursion(spark, binary, tnorm):
     walk = score_binary if binary else score_multi
     keep = ["f0", "f1", "label"]
     scored = {(r.f0, r.f1): r for r in score_table(df, model, keep).collect()}
-    joined = {(r.f0, r.f1): r for r in score_table(df, model, keep, ["f0", "f1"], inline_nodes=0).collect()}
+    joined = {(r.f0, r.f1): r for r in score_table(df, model, keep, stage_nodes=3).collect()}
     for key, r in scored.items():
         want = walk(nodes, key, FUZZY, norm)
         assert r.scores == pytest.approx(want, abs=1e-9)
