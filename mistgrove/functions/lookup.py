@@ -1,10 +1,12 @@
-"""Constant tables inside expressions, and their binary search, without leaving the JVM."""
+"""Constant tables and their binary search: inside expressions, or for long tables on Arrow batches."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ def rank_of(x: Column, values: Sequence[float], inclusive: bool = False) -> Colu
     return F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), advance)
 
 
+def arrow_lists(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow array of lists."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
+def arrow_matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists of `width` doubles as a matrix; nulls inside become NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def ranks(tables: Sequence[Sequence[float]]):
+    """A function from an array of doubles, one per sorted table, to how many values of each table are below.
+
+    For long tables: a binary search over whole Arrow batches, where an expression would interpret every step.
+    """
+    arrays = [np.asarray(t, np.float64) for t in tables]
+
+    @F.arrow_udf("array<int>")
+    def found(values: pa.Array) -> pa.Array:
+        matrix = arrow_matrix(values, len(arrays))
+        return arrow_lists(np.stack([np.searchsorted(t, matrix[:, i]) for i, t in enumerate(arrays)], 1).astype(np.int32))
+
+    return found
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with `value` evaluated once."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import opened, rank_of
+from mistgrove.functions.lookup import CASE_LIMIT, opened, rank_of, ranks
 from mistgrove.operators.scale import melt, range_edges
 
-#: Candidate cuts of all columns together that are still sent to every task (8 bytes each).
-MOST_CUTS = 4_000_000
+#: Candidate cuts of all columns together that are sent to every task: 8 bytes each, 512 MB in all.
+MOST_CUTS = 64_000_000
 
 EQUAL_WIDTH = "equal_width"
 EQUAL_FREQUENCY = "equal_frequency"
@@ -178,7 +178,7 @@ def candidate_cuts(
 def cut_lists(cuts: DataFrame) -> dict[str, list[float]]:
     """The cuts of each column in order: at most blocks * (splits + 2) values per column.
 
-    They become constants of the counting pass, so there must not be too many of them.
+    They are sent to every task of the counting pass, so there must not be too many of them.
     """
     total = cuts.count()
     if total > MOST_CUTS:
@@ -194,8 +194,15 @@ def contingency(df: DataFrame, label: str, cuts: dict[str, list[float]], strateg
 
     Equal width: the bin is found by arithmetic and closed on the left; values outside the
     cuts, possible when these came from a sample, go to the nearest bin. Equal frequency: the
-    bin is the number of cuts below the value, so it is closed on the right.
+    bin is the number of cuts below the value, so it is closed on the right; long lists of cuts are searched on
+    Arrow batches.
     """
+    if strategy == EQUAL_FREQUENCY and max(map(len, cuts.values()), default=0) > CASE_LIMIT:
+        found = ranks(list(cuts.values()))(F.array(*[F.col(c).cast("double") for c in cuts]))
+        placed = df.select(F.col(label).alias("label"), found.alias("bins"))
+        names = F.array(*[F.lit(c) for c in cuts])
+        long = placed.select("label", F.posexplode("bins").alias("at", "bin")).groupBy("at", "bin", "label").agg(F.count("*").alias("n"))
+        return long.select(F.get(names, F.col("at")).alias("feature"), "bin", "label", "n")
     parts = []
     for name, edges in cuts.items():
         x = F.col(name).cast("double")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import constant, double_array, let, opened, rank_of
+from mistgrove.functions.lookup import CASE_LIMIT, arrow_lists, arrow_matrix, constant, double_array, let, opened, rank_of
 from mistgrove.storage import spread
 
 
@@ -110,13 +112,40 @@ def quantile_lists(quantiles: DataFrame) -> dict[str, list[float]]:
     return found
 
 
+def _uniform_batches(df: DataFrame, quantiles: dict[str, list[float]], lower: dict[str, float]) -> DataFrame:
+    """The same map for all columns at once."""
+    names, tables = list(quantiles), []
+    for name, q in quantiles.items():
+        ends, n = np.array(q), len(q)
+        starts = np.append(float(lower[name]), ends[:-1])
+        low, high = np.arange(n) / n, np.arange(1, n + 1) / n
+        width = ends - starts
+        slope = np.divide(high - low, width, out=np.zeros(n), where=width > 0)
+        tables.append((ends, np.append(slope, 0.0), np.append(starts, 0.0), np.append(low, 1.0)))
+
+    @F.arrow_udf("array<double>")
+    def mapped(values: pa.Array) -> pa.Array:
+        matrix = arrow_matrix(values, len(tables))
+        out = np.empty_like(matrix)
+        for i, (ends, slope, start, low) in enumerate(tables):
+            at = np.searchsorted(ends, matrix[:, i])
+            out[:, i] = slope[at] * (matrix[:, i] - start[at]) + low[at]
+        return arrow_lists(out)
+
+    packed = df.withColumn("__uniform", mapped(F.array(*[F.col(c).cast("double") for c in names])))
+    return packed.withColumns({c: F.when(F.col(c).isNotNull(), F.get("__uniform", F.lit(i))) for i, c in enumerate(names)}).drop("__uniform")
+
+
 def to_uniform(df: DataFrame, quantiles: dict[str, list[float]], lower: dict[str, float]) -> DataFrame:
     """Map each listed column to [0, 1] through its quantiles; all other columns stay as they are.
 
     A value in the segment that ends at quantile i of n maps linearly to [i/n, (i+1)/n]; the
     first segment starts at the declared lower bound; values past the last quantile give 1.
-    Among equal quantiles the first is used. Test rows reuse the quantiles of the training rows.
+    Among equal quantiles the first is used. Test rows reuse the quantiles of the training rows. Nulls stay.
+    Short tables are searched by compiled comparisons, long ones by numpy on Arrow batches.
     """
+    if max(map(len, quantiles.values()), default=0) > CASE_LIMIT:
+        return _uniform_batches(df, quantiles, lower)
 
     def along(x: Column):
         return lambda s: s["m"] * (x - s["x1"]) + s["y1"]
