@@ -30,6 +30,8 @@ ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Buckets of more rows start from their central node.
 SMALL = 8
+#: Parts of hash space in which a set's tokens are counted.
+PARTS = 64
 #: Bits of the table that says which documents' sets are wanted.
 WANTED = 1 << 24
 #: Words whose hashes a task keeps.
@@ -78,15 +80,19 @@ class Orders:
     def __init__(self, codes: np.ndarray):
         self.codes = codes.reshape(2, CELLS)
         mean = float((2 ** (self.codes[0].astype(np.float32) / 4) - 1).mean())  # what chance alone puts into a cell
-        self.common = int(4 * np.log2(17 + mean + 8 * mean**0.5))
+        self.common = int(4 * np.log2(5 + mean + 3 * mean**0.5))
 
-    def sorted(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        first, second = cells(tokens)
-        code = np.minimum(self.codes[0][first], self.codes[1][second]).astype(np.int64)
-        rank = np.maximum(code - self.common, 0).astype(np.uint64)
-        mixed = tokens * np.uint64(ORDERS[order])
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(ROWS[0])
-        return tokens[np.argsort((rank << np.uint64(56)) | (mixed >> np.uint64(8)), kind="stable")]
+    def first(self, tokens: np.ndarray, p: int) -> list[np.ndarray]:
+        """The first p of the tokens in every order; tokens come sorted."""
+        one, two = cells(tokens)
+        code = np.minimum(self.codes[0][one], self.codes[1][two]).astype(np.int64)
+        rank = np.maximum(code - self.common, 0).astype(np.uint64) << np.uint64(56)
+        out = []
+        for factor in ORDERS:
+            mixed = tokens * np.uint64(factor)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(ROWS[0])
+            out.append(tokens[np.argsort(rank | (mixed >> np.uint64(8)), kind="stable")[:p]])
+        return out
 
 
 def read(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,8 +113,7 @@ def sets_and_sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in pieces(batches, 1):
             sets = [shingle(x) for x in batch.column(1).to_pylist()]
             for row, at in enumerate(cells(np.concatenate(sets))):
-                places, often = np.unique(at, return_counts=True)
-                sketch[row, places] = np.minimum(sketch[row, places] + often, 255)
+                sketch[row] = np.minimum(sketch[row] + np.bincount(at, minlength=CELLS), 255)
             nodes = [int.from_bytes(xxhash.xxh3_64_digest(x.tobytes()), "big", signed=True) if len(x) else None for x in sets]
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()),
@@ -141,7 +146,8 @@ def orders(sketches: DataFrame) -> Orders:
 
 
 def prefixes(docs: DataFrame, order: Orders, width: int, percent: int) -> DataFrame:
-    """Per document with words: node, n, first (prefix in the first order), others (16 bits of each token of the other orders' prefixes)."""
+    """Per document with words: node, n, first (prefix in the first order), others (16 bits of each token of the other orders' prefixes),
+    counts (tokens in each part of hash space)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 2 * CELLS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +164,13 @@ def prefixes(docs: DataFrame, order: Orders, width: int, percent: int) -> DataFr
                 if node in seen:
                     continue
                 seen.add(node)
-                p = prefix_size(len(tokens), percent)
-                rest = [known.sorted(tokens, k)[:p].astype(np.uint16).tobytes() for k in range(1, len(ORDERS))]
-                out.append((node, len(tokens), known.sorted(tokens, 0)[:p].view(np.int64), b"".join(rest)))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(4)], names=["node", "n", "first", "others"])
+                first, *rest = known.first(tokens, prefix_size(len(tokens), percent))
+                counts = np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=PARTS), 65535).astype(np.uint16)
+                out.append((node, len(tokens), first.view(np.int64), b"".join(x.astype(np.uint16).tobytes() for x in rest), counts.tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(5)], names=["node", "n", "first", "others", "counts"])
 
-    return stored(docs.mapInArrow(cut, "node long, n int, first array<long>, others binary"), "jaccard-prefixes")
+    return stored(docs.mapInArrow(cut, "node long, n int, first array<long>, others binary, counts binary"), "jaccard-prefixes")
 
 
 def possible(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
@@ -178,22 +184,30 @@ def pair(a: Column, b: Column) -> list[Column]:
 
 
 def agreeing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share a token at possible positions under every other order too."""
+    """The pairs (a, b) that can be alike by two exact bounds.
+
+    What two sets share in a part of hash space is at most the smaller of their counts there; and their prefixes share a token
+    at possible positions under every other order too.
+    """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n_a, x, n_b, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                x, y = (np.frombuffer(v, np.uint16).reshape(len(ORDERS) - 1, -1) for v in (x, y))
-                good = True
-                for one, two in zip(x, y, strict=True):
-                    i, j = np.nonzero(one[:, None] == two[None, :]) if len(one) * len(two) <= 1 << 20 else shared_places(one, two)
-                    good = good and bool(((100 + percent) * np.minimum(n_a - i, n_b - j) >= percent * (n_a + n_b)).any())
-                keep.append(good)
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(2).to_numpy() + batch.column(5).to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64) for i in (4, 7))
+            most = np.where(np.maximum(one, two) == 65535, 1 << 40, np.minimum(one, two)).sum(1)
+            keep = (100 + percent) * most >= percent * sizes
+            for k in np.flatnonzero(keep).tolist():
+                n_a, n_b = batch.column(2)[k].as_py(), batch.column(5)[k].as_py()
+                for one, two in zip(*(np.frombuffer(batch.column(i)[k].as_py(), np.uint16).reshape(len(ORDERS) - 1, -1) for i in (3, 6)), strict=True):
+                    i, j = shared_places(one, two)
+                    keep[k] &= bool(((100 + percent) * np.minimum(n_a - i, n_b - j) >= percent * (n_a + n_b)).any())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (heads.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("others").alias(f"others_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "others_a", "n_b", "others_b").mapInArrow(test, "a long, b long")
+    one, two = (heads.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "others", "counts")]) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("n", "others", "counts")]) \
+        .mapInArrow(test, "a long, b long")
 
 
 def shared_places(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,6 +265,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
 
 
+def compared(texts: DataFrame, members: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among the candidate pairs: those that agree under all orders, then in their sets. Stored."""
+    pairs = stored(pairs.distinct(), "jaccard-candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = stored(heads.select("node", "n", "others", "counts").join(ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-heads")
+    pairs = stored(agreeing(pairs, own, percent), "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), members, width)
+    return stored(verified(pairs, sets, percent), "jaccard-links")
+
+
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: key, n_shingles (different word n-grams, A-Z lower-cased) and component_id.
 
@@ -265,9 +291,11 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     members = gathered.where("chunk is null").select("key", "n", "node")
     heads = prefixes(texts, orders(gathered.where("chunk is not null").select("chunk", "counts")), width, percent)
     rows = heads.select("node", "n", F.posexplode("first").alias("pos", "token"))
-    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "n", "node")).alias("centre"),
-                                        F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("least", "most")
-    shared = stored(rows.join(buckets, "token").distinct(), "jaccard-buckets")
+    # most tokens have one node: they go before anything else is worked out
+    several = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
+    met = stored(rows.join(several, "token", "left_semi").distinct(), "jaccard-met")
+    buckets = met.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "n", "node")).alias("centre"))
+    shared = stored(met.join(buckets, "token"), "jaccard-buckets")
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
     other = small.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     n, pos = F.col("n"), F.col("pos")
@@ -275,10 +303,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         .select(*pair(F.col("node"), F.col("node_b")))
     central = large.where((F.col("node") != F.col("centre.node")) & possible(n, pos, F.col("centre.n"), F.col("centre.pos"), percent)) \
         .select(*pair(F.col("node"), F.col("centre.node")))
-    pairs = stored(agreeing(direct.union(central).distinct(), heads.dropDuplicates(["node"]), percent), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    sets = wanted_sets(texts, wanted, members, width)
-    links = stored(verified(pairs, sets, percent), "jaccard-links")
+    links = compared(texts, members, heads, direct.union(central), width, percent)
     found = components(links)
     # nodes of large buckets that the centre's component doesn't hold meet all others of their bucket
     named = found.select("node", "component")
@@ -290,9 +315,8 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     all_others = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "own", "main")])
     left = outside.join(all_others, "token").where(
         (F.col("own") != F.col("own_b")) & ((F.col("own_b") == F.col("main")) | (F.col("node") < F.col("node_b")))
-        & possible(n, pos, F.col("n_b"), F.col("pos_b"), percent)).select(*pair(F.col("node"), F.col("node_b"))).distinct()
-    more = verified(agreeing(left, heads.dropDuplicates(["node"]), percent), sets, percent)
-    final = components(links.union(more))
+        & possible(n, pos, F.col("n_b"), F.col("pos_b"), percent)).select(*pair(F.col("node"), F.col("node_b")))
+    final = components(links.union(compared(texts, members, heads, left, width, percent)))
     nodes = members.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("members")) \
         .join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
