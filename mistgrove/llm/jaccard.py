@@ -265,15 +265,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
 
 
+def ends_of(pairs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The nodes of stored pairs, marked for broadcasting where they are few (8 MB), so that wide tables stay where they are."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
+    return F.broadcast(ends) if ends.count() <= broadcast_rows else ends
+
+
 def compared(texts: DataFrame, members: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among the candidate pairs: those that agree under all orders, then in their sets. Stored."""
     pairs = stored(pairs.distinct(), "jaccard-candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = stored(heads.select("node", "n", "others", "counts").join(ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-heads")
+    own = stored(heads.select("node", "n", "others", "counts").join(ends_of(pairs), "node", "left_semi").dropDuplicates(["node"]), "jaccard-heads")
     pairs = stored(agreeing(pairs, own, percent), "jaccard-pairs")
     if pairs.isEmpty():
         return pairs
-    sets = wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), members, width)
+    sets = wanted_sets(texts, ends_of(pairs), members, width)
     return stored(verified(pairs, sets, percent), "jaccard-links")
 
 
