@@ -31,7 +31,7 @@ class Sequence:
     def built(values: np.ndarray) -> bytes:
         values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
-        width = max(0, (top // max(n, 1)).bit_length() - 1)
+        width = min(57, max(0, (top // max(n, 1)).bit_length() - 1))  # at most what 8 bytes hold from any bit on
         low = packed(values & np.uint64((1 << width) - 1), width) if width else np.zeros(9, np.uint8)
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(places[-1]) // 8 + 1 if n else 0), np.uint8)

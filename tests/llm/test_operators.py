@@ -277,6 +277,33 @@ def test_lm_scores(docs, rows, empty, tmp_path, spark):
     assert lm.score_corpus(docs, F.lit(True)).agg(F.max("n_known"), F.max("train_tokens")).first()[:] == (0, 0)
 
 
+def test_lm_counts_pairs_of_rare_words(spark):
+    made = random.Random(8)
+    kinds = [f"w{i:x}" for i in range(lm.WORDS + 20_000)]  # more than the table of frequent words holds
+    words = kinds * 2
+    made.shuffle(words)
+    texts = [" ".join(words[i : i + 3000]) for i in range(0, len(words), 3000)] * 2
+    texts += [" ".join(made.choices([*words[:6000], "new"], k=50)) for _ in range(50)] + [" ".join(words[i : i + 40]) for i in range(0, 8000, 40)]
+    train = 2 * -(-len(words) // 3000)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in lm.score_corpus(table, F.col("doc_id") >= train).collect()}
+    single, pairs = Counter(), Counter()
+    for t in texts[:train]:
+        found = [*t.encode().split(), "end"]
+        single.update(found)
+        pairs.update(zip(["begin", *found], found, strict=False))
+    total = sum(single.values())
+    own = lambda w: (single[w] + 1) / (total + len(single) + 1)
+    before = single | Counter(begin=train)
+    for i, t in enumerate(texts):
+        found = [*t.encode().split(), "end"]
+        full = sum(math.log10((pairs[v, w] + lm.WEIGHT * own(w)) / (before[v] + lm.WEIGHT)) if before[v] else math.log10(own(w))
+                   for v, w in zip(["begin", *found], found, strict=False))
+        assert math.isclose(out[i]["base_score"], sum(math.log10(own(w)) for w in found), rel_tol=1e-9)
+        assert abs(out[i]["score"] - full) <= lm.STEP / 2 * len(found)
+    assert len(out) == len(texts)
+
+
 # 7 resharding
 
 def test_flow_moves_the_least():
