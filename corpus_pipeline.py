@@ -28,11 +28,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 90 % of their three-word shingles, the one whose doc_id names the group.
+    """Of documents linked by 80 % of their five-word shingles, the one whose doc_id names the group.
 
     Documents without words or without an id are no group and stay. Rows that repeat id and text stay once.
     """
-    groups = stored(jaccard_groups(docs), "pipeline-groups")
+    groups = stored(jaccard_groups(docs, width=5, percent=80), "pipeline-groups")
     kept = without(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "doc_id")
     again = stored(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
     if again.isEmpty():

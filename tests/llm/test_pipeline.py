@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -64,3 +65,23 @@ def test_run_is_its_stages(spark, results):
     out = corpus_pipeline.run(spark, FOLDER)
     assert Counter(map(str, out.select(*results[5].columns).collect())) == Counter(map(str, results[5].collect()))
     clear(spark)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    made = random.Random(9)
+    texts = []
+    for _ in range(8):
+        base = [f"w{made.randrange(500)}" for _ in range(100)]
+        texts.append(base)
+        for changed in ([50], [30, 70], [20, 50, 80], [10, 35, 60, 85]):  # the second: under 0.9 by three words, over 0.8 by five
+            texts.append([f"x{made.random()}" if i in changed else w for i, w in enumerate(base)])
+    made.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert ids(corpus_pipeline.one_of_each_group(spark, docs, FOLDER)) == Counter(least.values())
