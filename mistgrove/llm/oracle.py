@@ -47,4 +47,83 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLE = {"op1_mix": OP1, "op2_exact_dedup": OP2}
+
+
+def _with(value: str, cost: str, letter: str) -> str:
+    """A state's value (12 digits of cost, then the audit) after an edit."""
+    return f"lpad(CAST(CAST(substr({value}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({value}, 13) || '{letter}'"
+
+
+def _closed(names: str) -> str:
+    """v0..v3 of a layer after inserts."""
+    due = ", ".join(_with(f"{names}{s}", "5", "I") for s in (0, 1, 3))
+    return f"""SELECT * EXCLUDE (w2, w3), w2 AS x2, least(w3, {_with('w2', '5', 'I')}) AS x3
+      FROM (SELECT *, least({names}2, {due}) AS w2, {names}3 AS w3 FROM n)"""
+
+
+_USER = ", ".join(f"CASE WHEN fault IN (0, 3) THEN {_with(v, f'{c} + 5 * CAST(fault = 3 AS INT)', x)} END" if x == "R" else
+                  f"CASE WHEN fault IN (0, 3) AND kind = 'u' THEN {_with(v, '5 * CAST(fault = 3 AS INT)', x)} END"
+                  for v in ("v0", "v1", "x3") for x, c in (("K", 0), ("R", 1)))
+_ASSISTANT = f"""CASE WHEN fault IN (0, 3) THEN {_with('x2', '1 + 5 * CAST(fault = 3 AS INT)', 'R')} END,
+  CASE WHEN fault IN (0, 3) AND kind = 'a' THEN {_with('x2', '5 * CAST(fault = 3 AS INT)', 'K')} END"""
+
+OP11 = f"""
+WITH RECURSIVE bits(byte, k, v) AS (
+  SELECT b, 0, CAST(b AS BIGINT) FROM range(256) x(b)
+  UNION ALL SELECT byte, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(v ORDER BY byte) AS steps FROM bits WHERE k = 8
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS was_role, coalesce(text, ' ') AS was_text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(x) AS BIGINT) FOR x IN string_split(
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+           lambda a, x: xor(a >> 8, steps[1 + CAST(xor(a, x) & 255 AS INT)])), CAST(4294967295 AS BIGINT)) % 20 AS damage
+  FROM conversations, crc
+), c AS (
+  SELECT conv_id, turn, was_role, md5(was_text) AS tie, copy, CASE WHEN damage = 4 THEN 'user' ELSE was_role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(was_text, '.!?', '') ELSE was_text END AS text
+  FROM d, LATERAL (SELECT unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy) WHERE damage <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, was_role, tie, copy) AS i FROM c
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault,
+         substr(role, 1, 1) AS kind, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o
+), t AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before || kind NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM f GROUP BY conv_id
+), n(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM t
+  UNION ALL
+  SELECT n.conv_id, f.i, {_with('v0', '2', 'D')},
+         least({_with('v1', '2', 'D')}, CASE WHEN fault IN (0, 3) AND kind = 's' THEN {_with('v0', '5 * CAST(fault = 3 AS INT)', 'K')} END),
+         least({_with('x2', '2', 'D')}, {_USER}), least({_with('x3', '2', 'D')}, {_ASSISTANT})
+  FROM ({_closed('v')}) n JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i + 1
+), e AS (
+  SELECT conv_id, least(v0, x3) AS v FROM ({_closed('v')}) JOIN t USING (conv_id) WHERE i = rows
+), a AS (
+  SELECT conv_id, CAST(substr(v, 1, 12) AS BIGINT) AS cost, substr(v, 13) AS audit FROM e
+), l AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS edit, p - len(replace(substr(audit, 1, p), 'I', '')) AS inserts
+  FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS p FROM a)
+), r AS (
+  SELECT l.conv_id, p, edit, kind, role, text, row_number() OVER (PARTITION BY l.conv_id ORDER BY p) AS q,
+         first_value(edit || coalesce(kind, '')) OVER (PARTITION BY l.conv_id ORDER BY p) = 'Ks' AS opened
+  FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.p - l.inserts AND edit <> 'I' WHERE edit <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (q - CAST(opened AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS repaired_sha256
+  FROM r GROUP BY conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+ORACLE = {"op1_mix": OP1, "op2_exact_dedup": OP2, "op11_repair": OP11}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mistgrove.llm import langid, toxicity
 from mistgrove.llm.common import documents, remainder
+from mistgrove.llm.conversations import repair_conversations
 from mistgrove.llm.decontaminate import find_leaks
 from mistgrove.llm.exact import exact_groups
 from mistgrove.llm.jaccard import jaccard_groups
@@ -86,4 +87,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op6_lm, op7_reshard, op8_decontaminate, op9_language, op10_secrets)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op6_lm, op7_reshard, op8_decontaminate, op9_language,
+                                   op10_secrets, op11_repair)}
