@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mistgrove.llm import langid, toxicity
+from mistgrove.llm.alignment import align_documents
 from mistgrove.llm.common import documents, remainder
 from mistgrove.llm.conversations import repair_conversations
 from mistgrove.llm.decontaminate import find_leaks
@@ -92,5 +93,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies over all documents, aligned and counted."""
+    import public_tokenizers
+
+    return align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op6_lm, op7_reshard, op8_decontaminate, op9_language,
-                                   op10_secrets, op11_repair)}
+                                   op10_secrets, op11_repair, op12_align)}

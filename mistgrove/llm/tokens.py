@@ -28,9 +28,12 @@ HELD = 300_000
 KNOWN = 0x530
 
 
-@lru_cache(maxsize=2)
-def splitter(path: str):
-    """A function from text to (pre-tokens, number of special tokens), agreeing with the tokenizer in the file."""
+@lru_cache(maxsize=4)
+def splitter(path: str, special: bool = True):
+    """A function from text to (pre-tokens, number of special tokens), agreeing with the tokenizer in the file.
+
+    Without `special`, special strings are plain text.
+    """
     import regex
     from tokenizers import Tokenizer
 
@@ -39,8 +42,8 @@ def splitter(path: str):
     split = told.get("pre_tokenizer") or {}
     if told.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
         raise ValueError("a byte-level tokenizer without normalizer or added space is needed")
-    special = [t["content"] for t in told.get("added_tokens", ())]
-    apart = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    strings = [t["content"] for t in told.get("added_tokens", ())] if special else []
+    apart = re.compile("|".join(map(re.escape, sorted(strings, key=len, reverse=True)))) if strings else None
 
     def members(kind: str) -> str:
         return "".join(re.escape(chr(c)) for c in range(KNOWN) if regex.match(kind, chr(c)))
