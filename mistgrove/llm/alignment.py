@@ -30,8 +30,8 @@ from mistgrove.llm.tokens import splitter
 FREQUENT = 1 << 19
 #: Links a task gathers before it hands on their counts, and pieces of text whose tokens it remembers.
 HELD, KNOWN = 4_000_000, 300_000
-#: Characters of the pieces that a task remembers.
-REMEMBERED = 4_000_000
+#: Characters of the pieces that a task remembers, and bytes of texts it works on at once.
+REMEMBERED, BATCH = 4_000_000, 2 << 20
 
 ROWS = "key long, row long, n_a long, n_b long, n_groups long, n_links long, sha string, pairs array<long>, often array<int>"
 OUT = "key long, row long, n_a long, n_b long, n_groups long, n_links long, sha string, best long, sum long, rare array<long>, times array<int>"
@@ -45,31 +45,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Numbers(dict):
+    """Pieces of text in the order of their first use; new ones wait to be tokenised."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.waiting.append(piece)
+        return number
+
+
 class Side:
-    """A tokenizer as a function from texts to ids, remembering the pieces it has seen, and the bytes of every id."""
+    """A tokenizer of batches of texts that remembers the pieces it has seen, and the bytes of every id."""
 
     def __init__(self, cut, encode, names: list[bytes]):
         self.cut, self.encode, self.names = cut, encode, names
         self.length = np.array([len(x) for x in names], np.int64)
-        self.shown = [str(i) for i in range(len(names))]
-        self.known: dict[str, tuple[int, ...] | None] = {}
-        self.held = 0
-
-    def ids(self, text: str) -> list[int] | None:
-        """The ids of a text, or None if their bytes aren't the text's."""
-        parts, known = self.cut(text), self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) > KNOWN or self.held > REMEMBERED:
-                known.clear()
-                self.held, new = 0, list(dict.fromkeys(parts))
-            self.held += sum(map(len, new))
-            for part, ids in zip(new, self.encode(new), strict=True):
-                known[part] = tuple(ids) if b"".join([self.names[i] for i in ids]) == part.encode() else None
-        try:
-            return list(chain.from_iterable([known[p] for p in parts]))
-        except TypeError:  # a piece that does not come back as it was
-            return None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.held = Numbers(), 0
+        self.flat, self.start, self.bad = [], [0], []
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts, how many each text has, and whether they are the text's bytes."""
+        if len(self.known) > KNOWN or self.held > REMEMBERED:
+            self.forget()
+        number = self.known.__getitem__
+        found = [list(map(number, self.cut(text))) for text in texts]
+        new, self.known.waiting = self.known.waiting, []
+        self.held += sum(map(len, new))
+        for part, ids in zip(new, self.encode(new) if new else [], strict=True):
+            self.flat += ids
+            self.start.append(len(self.flat))
+            self.bad.append(b"".join([self.names[i] for i in ids]) != part.encode())
+        sizes = np.array([len(x) for x in found], np.int64)
+        used = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
+        of = np.repeat(np.arange(len(texts)), sizes)
+        start = np.array(self.start, np.int64)
+        tokens = start[used + 1] - start[used]
+        before = np.cumsum(tokens) - tokens
+        ids = np.array(self.flat, np.int64)[np.repeat(start[used] - before, tokens) + np.arange(tokens.sum())]
+        right = np.bincount(of, np.array(self.bad, bool)[used], len(texts)) == 0
+        return ids, np.bincount(of, tokens, len(texts)).astype(np.int64), right
 
 
 @lru_cache(maxsize=2)
@@ -99,93 +120,114 @@ def spaced(path: str) -> Side:
         raise ValueError("a vocabulary without spaces inside its entries is needed")
     names = [bytes([int(x[3:5], 16)]) if library.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(entries)]
     alone = library.piece_to_id("▁")
-    return Side(SPACED.findall, lambda new: [library.encode(x[1:]) if len(x) > 1 else [alone] for x in new], names)
 
+    def encode(new: list[str]) -> list[list[int]]:
+        return [ids or [alone] for ids in library.encode([x[1:] for x in new], num_threads=1)]
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """From the ends of two rows of tokens over the same bytes: the last token of either side in each group, and the linked pairs.
+    return Side(SPACED.findall, encode, names)
 
-    The rows cover the same bytes, so the last ends are equal; the pairs are in order.
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the ends of two rows of tokens over the same bytes: whether a token of either side ends a group, and all linked pairs.
+
+    The last ends are equal. Pairs of one-to-one stretches come first, then those of irregular groups.
     """
-    group_a, group_b, link_a, link_b = [], [], [], []
-    i, j = 0, 0
-    while i < len(a):
+    raw_a, raw_b, ends_a, ends_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+    wide = a.itemsize
+    from_a, from_b, runs = [], [], []
+    inner_a, inner_b, link_a, link_b = [], [], [], []
+    i, j, all_a, all_b = 0, 0, len(ends_a), len(ends_b)
+    while i < all_a:
         # jump: how many ends from here on are equal at the shift j - i
-        most = min(len(a) - i, len(b) - j)
-        run, step = 0, 1
-        while run < most and a[i + run : i + run + step] == b[j + run : j + run + step]:
-            run += min(step, most - run)
+        most = min(all_a - i, all_b - j)
+        run, step, at, to = 0, 1, i * wide, j * wide
+        while run < most and raw_a[at : at + step * wide] == raw_b[to : to + step * wide]:
+            run += step
+            at += step * wide
+            to += step * wide
             step *= 2
         if run < most:  # the window that differs is halved to its first difference
             while step > 1:
                 step //= 2
-                if a[i + run : i + run + step] == b[j + run : j + run + step]:
+                if raw_a[at : at + step * wide] == raw_b[to : to + step * wide]:
                     run += step
+                    at += step * wide
+                    to += step * wide
+        else:
+            run = most
         if run:
-            group_a += range(i, i + run)
-            group_b += range(j, j + run)
-            link_a += range(i, i + run)
-            link_b += range(j, j + run)
+            from_a.append(i)
+            from_b.append(j)
+            runs.append(run)
             i += run
             j += run
-            if i == len(a):
+            if i == all_a:
                 break
         # an irregular group, token by token, up to the next common end
-        x, y = a[i], b[j]
+        x, y = ends_a[i], ends_b[j]
         link_a.append(i)
         link_b.append(j)
         while x != y:
             if x < y:
+                inner_a.append(i)
                 i += 1
-                x = a[i]
+                x = ends_a[i]
             else:
+                inner_b.append(j)
                 j += 1
-                y = b[j]
+                y = ends_b[j]
             link_a.append(i)
             link_b.append(j)
-        group_a.append(i)
-        group_b.append(j)
         i += 1
         j += 1
-    return group_a, group_b, link_a, link_b
-
-
-def listed(shown: list[str], ids: list[int], last: list[int]) -> list[str]:
-    """The ids of each group, comma-joined."""
-    out, begin = [], 0
-    for end in last:
-        out.append(shown[ids[begin]] if end == begin else ",".join([shown[i] for i in ids[begin : end + 1]]))
-        begin = end + 1
-    return out
+    last_a, last_b = np.ones(all_a, bool), np.ones(all_b, bool)
+    last_a[inner_a] = False
+    last_b[inner_b] = False
+    size = np.array(runs, np.int64)
+    along = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    both = [np.append(np.repeat(np.array(f, np.int64), size) + along, np.array(x, np.int64)) for f, x in ((from_a, link_a), (from_b, link_b))]
+    return last_a, last_b, *both
+
+
+def group_digests(ids: tuple[np.ndarray, np.ndarray], last: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray], texts: int, shown: pa.Array) -> list[str]:
+    """Per text the digest of its groups, `a1,a2|b1;a3|b2,b3`; `of` tells each token's text, `shown` spells ids with what follows them."""
+    group = [np.cumsum(x) - x for x in last]  # number of the group of each token
+    ends = [np.append(0, np.flatnonzero(x) + 1) for x in last]
+    place = np.arange(len(ids[0])) + ends[1][group[0]], np.arange(len(ids[1])) + ends[0][group[1] + 1]
+    half = len(shown) // 2
+    wanted = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    wanted[place[0]] = 2 * ids[0] + last[0]
+    wanted[place[1]] = half + 2 * ids[1] + last[1]
+    spelled = shown.take(pa.array(wanted))
+    offsets = np.frombuffer(spelled.buffers()[1], np.int64)[: len(wanted) + 1]
+    data = memoryview(spelled.buffers()[2])
+    counts = np.bincount(of[0], minlength=texts) + np.bincount(of[1], minlength=texts)
+    edges = offsets[np.append(0, np.cumsum(counts))].tolist()
+    return [hashlib.sha256(data[x : y - 1]).hexdigest() for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def aligned_rows(path_a: str, path_b: str):
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = byte_level(path_a), spaced(path_b)
-        width = len(two.names)
-        for batch in pieces(batches, 2):
-            counts, shas, pairs, often = [], [], [], []
-            for value in batch.column(2).to_pylist():
-                text = " " + (value or b"").decode()
-                a, b = (one.ids(text), two.ids(text)) if value else (None, None)
-                if not a or not b:
-                    counts.append((0, 0, 0, 0))
-                    shas.append("")
-                    pairs.append(np.zeros(0, np.int64))
-                    often.append(np.zeros(0, np.int32))
-                    continue
-                ids_a, ids_b = np.array(a), np.array(b)
-                last_a, last_b, link_a, link_b = align(np.cumsum(one.length[ids_a]).tolist(), np.cumsum(two.length[ids_b]).tolist())
-                groups = zip(listed(one.shown, a, last_a), listed(two.shown, b, last_b), strict=True)
-                shas.append(hashlib.sha256(";".join(["|".join(g) for g in groups]).encode()).hexdigest())
-                kinds, times = np.unique(ids_a[link_a] * width + ids_b[link_b], return_counts=True)
-                counts.append((len(a), len(b), len(last_a), len(link_a)))
-                pairs.append(kinds)
-                often.append(times.astype(np.int32))
-            ends = pa.array(np.append(0, np.cumsum([len(x) for x in pairs])).astype(np.int32))
+        width, entries = len(two.names), max(len(one.names), len(two.names))
+        shown = pa.array([f"{i}{x}" for marks in (",|", ",;") for i in range(entries) for x in marks], pa.large_string())
+        for batch in pieces(batches, 2, BATCH):
+            texts = [" " + x.decode() if x else "" for x in batch.column(2).to_pylist()]
+            n = len(texts)
+            ids, sizes, right = zip(one.ids(texts), two.ids(texts), strict=True)
+            some = right[0] & right[1] & (sizes[0] > 0)
+            of = [np.repeat(np.arange(n), x) for x in sizes]
+            ids = [x[some[o]] for x, o in zip(ids, of, strict=True)]
+            of = [o[some[o]] for o in of]
+            last_a, last_b, link_a, link_b = align(np.cumsum(one.length[ids[0]]), np.cumsum(two.length[ids[1]]))
+            counts = [np.bincount(x, minlength=n) for x in (of[0], of[1], of[0][last_a], of[0][link_a])]
+            digests = group_digests((ids[0], ids[1]), (last_a, last_b), (of[0], of[1]), n, shown)
+            kinds, times = np.unique((of[0][link_a] * entries + ids[0][link_a]) * width + ids[1][link_b], return_counts=True)
+            held = kinds // (entries * width)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(held, minlength=n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array([x[k] for x in counts], pa.int64()) for k in range(4)], pa.array(shas, pa.string()),
-                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pairs), pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(often), pa.int32()))],
+                [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in counts], pa.array([d if s else "" for d, s in zip(digests, some, strict=True)], pa.string()),
+                 pa.ListArray.from_arrays(ends, pa.array(kinds % (entries * width))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
                 names=[x.split()[0] for x in ROWS.split(", ")])
 
     return walked
