@@ -126,4 +126,76 @@ FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN t ON t.conv_id IS
 LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id
 """
 
-ORACLE = {"op1_mix": OP1, "op2_exact_dedup": OP2, "op11_repair": OP11}
+# The patterns of the kinds, as the definition has them.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_TERM = r"\p{L}[\p{L}\p{N}]*"
+_FOUND = " UNION ALL ".join(
+    f"SELECT row, {no} AS no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')"
+    for no, (k, p) in enumerate(_PATTERNS.items()))
+
+
+def _terms(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{_TERM}'), lambda w: {LOWER.format('w')})"
+
+
+
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), m AS (
+  SELECT row, no, kind, i, found[i] AS found, gaps[i] AS before, gaps[i + 1] AS after
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM ({_FOUND}))
+), p AS (
+  SELECT *, sum(length(before) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop, regexp_replace(found, '[^0-9]', '', 'g') AS digits FROM m
+), b AS (
+  SELECT row, no, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
+         CASE WHEN kind IN ('card', 'phone') THEN digits ELSE {LOWER.format('found')} END AS entity,
+         list_concat(({_terms('before')})[-8:], ({_terms('after')})[:8]) AS near
+  FROM p WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(right(x, 3) AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+         CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(digits), k, 1) AS INT) ELSE 2 * CAST(substr(reverse(digits), k, 1) AS INT)
+              - 9 * CAST(CAST(substr(reverse(digits), k, 1) AS INT) > 4 AS INT) END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15 ELSE true END
+), e AS (
+  SELECT kind, entity, count(DISTINCT row) AS n_entity FROM b GROUP BY kind, entity
+), q AS (
+  SELECT word, kind, entity, count(DISTINCT row) AS n_pair
+  FROM (SELECT row, kind, entity, near, unnest(list_distinct(near)) AS word FROM b) GROUP BY word, kind, entity HAVING count(DISTINCT near) >= 2
+), w AS (
+  SELECT row, unnest(list_distinct({_terms('text')})) AS word FROM d
+), c AS (
+  SELECT word, count(*) AS n_word FROM w SEMI JOIN q USING (word) GROUP BY word
+), r AS (
+  SELECT word, CASE WHEN min(round(log2(n_word / n_pair), 9)) <= 1 THEN 'remove' ELSE 'generalise' END AS kind
+  FROM q JOIN e USING (kind, entity) JOIN c USING (word)
+  WHERE round(log2(CAST((SELECT count(*) FROM d) AS DOUBLE) * n_pair / (n_word * n_entity)), 9) >= 4 GROUP BY word HAVING min(round(log2(n_word / n_pair), 9)) <= 3
+), t AS (
+  SELECT row, i, found[i] AS found, length(gaps[i]) AS gap
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i
+        FROM (SELECT row, regexp_extract_all(text, '{_TERM}') AS found, string_split_regex(text, '{_TERM}') AS gaps FROM d SEMI JOIN (SELECT row FROM w JOIN r USING (word)) x USING (row)))
+), o AS (
+  SELECT row, {LOWER.format('found')} AS word, stop - length(found) AS start, stop
+  FROM (SELECT *, sum(gap + length(found)) OVER (PARTITION BY row ORDER BY i) AS stop FROM t)
+), s AS (
+  SELECT row, no, kind, start, stop FROM b
+  UNION ALL
+  SELECT row, CASE kind WHEN 'remove' THEN 4 ELSE 5 END, kind, CAST(start AS BIGINT), CAST(stop AS BIGINT) FROM o JOIN r USING (word)
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = o.row AND b.start <= o.start AND o.start < b.stop)
+), g AS (
+  SELECT row, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in (*_PATTERNS, 'remove', 'generalise'))},
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) FILTER (no < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS spans
+  FROM s GROUP BY row
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*_PATTERNS, 'remove', 'generalise'))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+ORACLE = {"op1_mix": OP1, "op2_exact_dedup": OP2, "op11_repair": OP11, "op13_personal": OP13}

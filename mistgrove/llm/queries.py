@@ -15,6 +15,7 @@ from mistgrove.llm.jaccard import jaccard_groups
 from mistgrove.llm.lm import score_corpus
 from mistgrove.llm.mixing import mix
 from mistgrove.llm.resharding import reshard
+from mistgrove.llm.sanitise import find_personal
 from mistgrove.llm.secrets import find_secrets
 from mistgrove.llm.tokens import token_counts
 
@@ -100,5 +101,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the words that give it away."""
+    return find_personal(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_token_counts, op6_lm, op7_reshard, op8_decontaminate, op9_language,
-                                   op10_secrets, op11_repair, op12_align)}
+                                   op10_secrets, op11_repair, op12_align, op13_personal)}
