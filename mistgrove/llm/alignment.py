@@ -13,7 +13,9 @@ another character), so every distinct piece is tokenised once a task.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,9 +31,9 @@ from mistgrove.llm.tokens import splitter
 #: So many of the most frequent id pairs are sent to every task; the bound of that table.
 FREQUENT = 1 << 19
 #: Links a task gathers before it hands on their counts, and pieces of text whose tokens it remembers.
-HELD, KNOWN = 4_000_000, 300_000
+HELD, KNOWN = 1_000_000, 200_000
 #: Characters of the pieces that a task remembers, and bytes of texts it works on at once.
-REMEMBERED, BATCH = 4_000_000, 2 << 20
+REMEMBERED, BATCH = 4_000_000, 1 << 20
 
 ROWS = "key long, row long, n_a long, n_b long, n_groups long, n_links long, sha string, pairs array<long>, often array<int>"
 OUT = "key long, row long, n_a long, n_b long, n_groups long, n_links long, sha string, best long, sum long, rare array<long>, times array<int>"
@@ -68,7 +70,7 @@ class Side:
 
     def forget(self) -> None:
         self.known, self.held = Numbers(), 0
-        self.flat, self.start, self.bad = [], [0], []
+        self.flat, self.start, self.bad = array("i"), array("q", [0]), bytearray()
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts, how many each text has, and whether they are the text's bytes."""
@@ -79,18 +81,18 @@ class Side:
         new, self.known.waiting = self.known.waiting, []
         self.held += sum(map(len, new))
         for part, ids in zip(new, self.encode(new) if new else [], strict=True):
-            self.flat += ids
+            self.flat.extend(ids)
             self.start.append(len(self.flat))
             self.bad.append(b"".join([self.names[i] for i in ids]) != part.encode())
         sizes = np.array([len(x) for x in found], np.int64)
         used = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
         of = np.repeat(np.arange(len(texts)), sizes)
-        start = np.array(self.start, np.int64)
+        start = np.array(self.start)  # copies, as these go on growing
         tokens = start[used + 1] - start[used]
         before = np.cumsum(tokens) - tokens
-        ids = np.array(self.flat, np.int64)[np.repeat(start[used] - before, tokens) + np.arange(tokens.sum())]
-        right = np.bincount(of, np.array(self.bad, bool)[used], len(texts)) == 0
-        return ids, np.bincount(of, tokens, len(texts)).astype(np.int64), right
+        ids = np.array(self.flat)[np.repeat(start[used] - before, tokens) + np.arange(tokens.sum())]
+        right = np.bincount(of, np.array(self.bad)[used], len(texts)) == 0
+        return ids.astype(np.int64), np.bincount(of, tokens, len(texts)).astype(np.int64), right
 
 
 @lru_cache(maxsize=2)
@@ -98,6 +100,7 @@ def byte_level(path: str) -> Side:
     """The byte-level BPE tokenizer in a .json file; special strings are plain text."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are side by side already
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     parts = splitter(path, special=False)
@@ -229,6 +232,8 @@ def aligned_rows(path_a: str, path_b: str):
                 [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in counts], pa.array([d if s else "" for d, s in zip(digests, some, strict=True)], pa.string()),
                  pa.ListArray.from_arrays(ends, pa.array(kinds % (entries * width))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
                 names=[x.split()[0] for x in ROWS.split(", ")])
+        one.forget()  # workers outlive their tasks
+        two.forget()
 
     return walked
 
