@@ -77,10 +77,30 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) ->
             yield batch.slice(start)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a new column of different row numbers, and that column's name.
+
+    Rows are numbered by their place in the files, which is the same for every reader; a table that is not read from files is stored first.
+    """
+    name = fresh(docs.columns, "row")
+    files = docs if docs.inputFiles() else stored(docs, "numbered")
+    return files.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs whose key is not among ids (one column); rows without a key stay. Texts are shuffled only where ids are many."""
-    ids = stored(ids.toDF("_id").where("_id is not null").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, F.col(key) == F.col("_id"), "left_anti")
+    gone = fresh(docs.columns, "gone")
+    ids = ids.toDF(gone)
+    ids = stored(ids.where(F.col(gone).isNotNull()).distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, F.col(key) == F.col(gone), "left_anti")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, members: Column, total: int, share: int = 1000) -> DataFrame:

@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from mistgrove.llm.common import hash_limit, pieces
+from mistgrove.llm.common import pieces, stored
 
 #: n-gram lengths, presence bits, landmark texts per language, training texts per language, ridge.
 LENGTHS, BITS, LANDMARKS, SAMPLE, RIDGE = (1, 2, 3), 1 << 13, 24, 400, 1e-3
-#: Bytes of the longest text to learn from, so that the sample has a bound.
-LONGEST = 100_000
+#: Bytes of the longest text to learn from, and texts of all languages together (at least two of each), so that the sample has a bound.
+LONGEST, ALL = 100_000, 40_000
 #: Documents per matrix product.
 BLOCK = 512
 #: Name of texts without a letter.
@@ -83,8 +84,10 @@ class Model:
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression in the Nyström space; the first texts of each language are its landmarks."""
+    """Kernel ridge regression in the Nyström space; the first texts of each language are its landmarks. No texts: no language."""
     names = sorted(set(languages))
+    if not names:
+        return Model([], np.zeros((1, BITS), np.float32), np.zeros((2, 0), np.float32))
     rows, _ = presence(texts)
     told = np.array([names.index(x) for x in languages])
     chosen = np.concatenate([np.flatnonzero(told == k)[:landmarks] for k in range(len(names))])
@@ -102,34 +105,28 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def training_sample(docs: DataFrame, train: F.Column, key: str, text: str, lang: str, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most per_language texts of each language, those of least hash of key and text, in a fixed order.
+    """At most per_language different texts of each language, those of least text hash, in a fixed order.
 
-    Null languages, texts that are null, without letters or above LONGEST don't count. Languages come from the data; every one gets its share.
+    Null languages, texts that are null, without letters or above LONGEST bytes don't count; repeated rows and copies count once. Languages
+    come from the data; every one gets its share. Each task keeps its least hashes before anything is exchanged; texts are read for the chosen alone.
     """
-    order = F.xxhash64(F.lit("landmark"), F.col(key), F.col(text))
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= LONGEST)) \
-        .select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text"))
-    least = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
-    share = F.lit(False)
-    for r in least:
-        # hashes are even, so twice the share wanted leaves enough rows; a small language gives all
-        part = min(1.0, 2 * per_language / r["n"])
-        share |= (F.col("lang") == r["lang"]) & (F.col("order") <= F.lit(hash_limit(part)))
-    found = [(r["lang"], r["order"], r["text"]) for r in rows.where(share).collect()]
-    texts, names, held = [], [], dict.fromkeys((x[0] for x in found), 0)
-    for name, _, value in sorted(found):
-        if held[name] < per_language:
-            held[name] += 1
-            texts.append(value)
-            names.append(name)
-    return texts, names
+    usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= LONGEST)) \
+        .select(F.col(lang).alias("lang"), F.xxhash64(F.lit("landmark"), F.col(text)).alias("order"), F.col(text).alias("text"))
+    kinds = stored(usable.select("lang", "order").distinct(), "language-texts")
+    languages = kinds.select("lang").distinct().count()
+    most = max(2, min(per_language, ALL // max(languages, 1)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = kinds.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    rows = usable.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).collect()  # ALL, or two a language
+    rows = sorted(rows, key=lambda r: (r["lang"], r["order"]))
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, lang_pred, score, from the whole text.
 
     score is the softmax share (sharpness 4) of the chosen language's value, so it lies between 0 and 1. Null,
-    empty and letterless texts are `und` with score 0. Ties go to the first language by name. Repeated rows give
+    empty and letterless texts, and all texts where no language was learned, are `und` with score 0. Ties go to the first language by name. Repeated rows give
     repeated rows; an empty table gives an empty result; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x BITS floats
@@ -141,6 +138,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 part = batch.slice(start, BLOCK)
                 rows, some = presence([None if x is None else x.decode() for x in part.column(1).to_pylist()])
                 values = known.decide(rows).astype(np.float64)
+                if not known.languages:
+                    values, some = np.zeros((len(rows), 1)), np.zeros(len(rows), bool)
                 best = values.argmax(1)
                 shares = np.exp(4 * (values - values.max(1, keepdims=True)))
                 share = np.where(some, 1 / shares.sum(1), 0.0)

@@ -127,4 +127,5 @@ def thresholds(rows: DataFrame, rests: DataFrame, few: bool) -> DataFrame:
     # what is left is one document or one hash: take it where that comes nearer to the rest
     near = 2 * F.col("spent") + F.col("words") <= 2 * F.col("rest")
     first, beyond = F.shiftleft("prefix", shift), F.shiftleft(F.col("prefix") + 1, shift)
-    return state.select("source", F.when(near, beyond - 1).otherwise(first - 1).alias("limit"))
+    limit = F.when(F.col("rest") <= 0, -1).when(near, beyond - 1).otherwise(first - 1)  # nothing left: wordless documents neither
+    return state.select("source", limit.alias("limit"))

@@ -13,8 +13,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mistgrove.llm.common import stored
+from mistgrove.llm.common import fresh, stored
 
+PLAN = ("size", "text_crc32", "old_shard", "shard", "slot")
+#: Lists of at most so many texts are sent to every task, longer ones are joined.
+BROADCAST_TEXTS = 1_000_000
 #: Blocks of an old shard at least; one holds at most 1 / SPLIT of a new shard's capacity, or else is split.
 BLOCKS, SPLIT = 1024, 512
 
@@ -78,17 +81,27 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, key: str = "doc
     """One row per document: key, size, text_crc32, old_shard, shard, slot, and the columns in carry.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Capacities are even shares of all bytes unless given, and
-    are met up to a block, at most 1 / SPLIT of a share or one document. Equal texts of an old shard lie in one block unless
-    that is larger than this. Slots count from 0 without gaps, by block, key and text hash;
+    are met up to a block, at most 1 / SPLIT of a share or one group. Equal texts of all old shards lie in one block, planned from the
+    old shard that holds most of their bytes, unless they alone are larger than this. Slots count from 0 without gaps, by block, key and text hash;
     rows that repeat key and text take neighbouring slots in any order. Null keys come first; an old shard of null counts
-    as -1; an empty table gives an empty result; columns not named are not looked at.
+    as -1; an empty table gives an empty result; columns not named are not looked at. A carried column named like one of the plan's
+    goes out as that name with underscores before it.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     measured = docs.select(
         F.struct(*carry).alias("carried"), F.col(key).alias("key"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"),
         F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old"))
     rows = stored(measured.select("key", "size", "crc", "old"), "shard-rows")
-    supplies = {r["old"]: r["bytes"] for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
+    groups = rows.groupBy("crc", "old").agg(F.sum("size").alias("bytes")).groupBy("crc").agg(
+        F.max_by("old", F.struct("bytes", -F.col("old"))).alias("most_of"), F.count(F.lit(1)).alias("shards"))
+    spread = stored(groups.where("shards > 1").select("crc", "most_of"), "shard-texts")  # texts that several old shards hold
+    spread = F.broadcast(spread) if spread.count() <= BROADCAST_TEXTS else spread
+
+    def at_home(table: DataFrame) -> DataFrame:
+        return table.join(spread, "crc", "left").withColumn("home", F.coalesce("most_of", "old")).drop("most_of")
+
+    rows = stored(at_home(rows), "shard-homes")
+    supplies = {r["home"]: r["bytes"] for r in rows.groupBy("home").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
     total = sum(supplies.values())
     capacities = capacities or even(total, shards)
     moves = flow(supplies, capacities)
@@ -96,31 +109,35 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, key: str = "doc
     block = F.pmod(F.xxhash64("crc"), F.lit(BLOCKS))
     rows = rows.withColumn("block", block)
     # blocks above the limit are fewer than capacities * SPLIT: few enough to broadcast
-    large = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most) \
-        .select("old", "block", F.ceil(2 * F.col("bytes") / most).cast("long").alias("parts"))
+    large = rows.groupBy("home", "block").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most) \
+        .select("home", "block", F.ceil(2 * F.col("bytes") / most).cast("long").alias("parts"))
+
+    # so are groups of equal texts above it, the only ones that are split
+    huge = rows.groupBy("crc").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most).select("crc", F.lit(True).alias("huge"))
 
     def parted(table: DataFrame) -> DataFrame:
-        return table.join(F.broadcast(large), ["old", "block"], "left").withColumn(
-            "part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", "crc"), F.col("parts")))).drop("parts")
+        told = table.join(F.broadcast(large), ["home", "block"], "left").join(F.broadcast(huge), "crc", "left")
+        dealt = F.when(F.col("huge"), F.xxhash64("key", "crc")).otherwise(F.xxhash64(F.lit("part"), F.col("crc")))
+        return told.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(dealt, F.col("parts")))).drop("parts", "huge")
 
     split = parted(rows)
-    blocks = split.groupBy("old", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("old").orderBy("block", "part")  # blocks, never documents
+    blocks = split.groupBy("home", "block", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("home").orderBy("block", "part")  # blocks, never documents
     middle = F.sum("bytes").over(along) - F.col("bytes") / 2
     goal = F.lit(None).cast("int")
     for i in supplies:
         upto, ways = 0, [(j, x) for (a, j), x in sorted(moves.items(), key=lambda m: (m[0][0], m[0][1] != m[0][0], m[0][1])) if a == i]
         for j, x in reversed([(j, upto := upto + x) for j, x in ways]):
-            goal = F.when((F.col("old") == i) & (F.col("middle") <= x), j).otherwise(goal)
+            goal = F.when((F.col("home") == i) & (F.col("middle") <= x), j).otherwise(goal)
     placed = blocks.withColumn("middle", middle).withColumn("shard", goal)
-    order = Window.partitionBy("shard").orderBy("old", "block", "part")
-    placed = stored(placed.select("old", "block", "part", "shard", (F.sum("n").over(order) - F.col("n")).alias("first")), "shard-blocks")
-    inside = Window.partitionBy("old", "block", "part").orderBy("key", "crc")
-    numbered = (parted(measured.withColumn("block", block)) if carry else split).withColumn("at", F.row_number().over(inside) - 1)
+    order = Window.partitionBy("shard").orderBy("home", "block", "part")
+    placed = stored(placed.select("home", "block", "part", "shard", (F.sum("n").over(order) - F.col("n")).alias("first")), "shard-blocks")
+    inside = Window.partitionBy("home", "block", "part").orderBy("key", "crc")
+    numbered = (parted(at_home(measured).withColumn("block", block)) if carry else split).withColumn("at", F.row_number().over(inside) - 1)
     # a row a block, of which there are at most (BLOCKS + 3 * SPLIT * new shards) per old shard
-    return numbered.join(F.broadcast(placed), ["old", "block", "part"]).select(
+    return numbered.join(F.broadcast(placed), ["home", "block", "part"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"),
-        (F.col("first") + F.col("at")).cast("long").alias("slot"), *[F.col("carried")[c].alias(c) for c in carry])
+        (F.col("first") + F.col("at")).cast("long").alias("slot"), *[F.col("carried")[c].alias(fresh([key, *PLAN], c)) for c in carry])
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> list[int]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mistgrove.llm.common import pieces, stored
+from mistgrove.llm.common import fresh, pieces, stored
 
 #: n-gram lengths (words are padded by < and >), hash buckets, vector size.
 LENGTHS, BUCKETS, SIZE = (3, 4, 5, 6), 1 << 17, 4
@@ -141,9 +141,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
     Vectors start at their n-grams' log odds along one direction and zero else. A round steps against the gradient of the mean
     log loss, classes weighed equally, scaled so that its largest entry is `rate`, which falls to zero: what
     many texts agree on moves first. Every fourth text of a class is held back for the softmax's scale and bias alone, since
-    vectors fit their own texts too well to say what a score is worth.
+    vectors fit their own texts too well to say what a score is worth. Without texts of both classes every score is 0.5.
     """
-    told = np.array(toxic)
+    told = np.array(toxic, np.int64)
+    if not (0 < told.sum() < len(told)):  # nothing to tell apart
+        return Model(np.zeros((BUCKETS, SIZE)), np.zeros((2, SIZE)), np.zeros(2))
     nth = np.where(told == 1, np.cumsum(told), np.cumsum(1 - told))  # within the class
     aside = nth % 4 == 0
     bags, kinds = Bags([t for t, a in zip(texts, aside, strict=True) if not a]), told[~aside]
@@ -218,6 +220,7 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x SIZE floats
     others = [c for c in keep if c != key]
+    text_name, score_name = fresh([key, *others], "_text"), fresh([key, *others], "_score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, remembered = shared.value, {}
@@ -236,8 +239,8 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
                 values.append(((summed[ends] - summed[begins]) / np.maximum(ends - begins, 1)).max() + bias)
             odds = np.clip(np.array(values, np.float64), -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-odds)), pa.float64())],
-                                             names=[*batch.schema.names[1:], "_score"])
+                                             names=[*batch.schema.names[1:], score_name])
 
-    read = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key), *others)
+    read = docs.select(F.col(text).cast("binary").alias(text_name), F.col(key), *others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[1:])
-    return read.mapInArrow(score, f"{fields}, _score double").withColumnRenamed("_score", name)
+    return read.mapInArrow(score, f"{fields}, `{score_name}` double").withColumnRenamed(score_name, name)
