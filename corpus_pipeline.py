@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mistgrove.llm.common import documents, stored, without
+from mistgrove.llm.common import documents, fresh, stored, with_row, without
 from mistgrove.llm.decontaminate import find_leaks
 from mistgrove.llm.jaccard import jaccard_groups
 from mistgrove.llm.mixing import mixture
@@ -22,28 +22,32 @@ TOXIC = 0.7
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under TOXIC, by a model learned from the labelled rows among them."""
-    scored = score_texts(docs, toxicity_model(docs, spark, sf_dir), keep=tuple(docs.columns), name="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    """Documents scored under TOXIC, by a model learned from the labelled rows among them; without labels of both kinds all stay."""
+    name = fresh(docs.columns, "toxicity")
+    scored = score_texts(docs, toxicity_model(docs, spark, sf_dir), keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of their five-word shingles, the one whose doc_id names the group.
+    """Of documents linked by 80 % of their five-word shingles, the one of the smallest doc_id (null last, then the first row).
 
-    Documents without words or without an id are no group and stay. Rows that repeat id and text stay once.
+    Decisions are made by row, so a null or repeated doc_id is like any other. Documents without words are no group and stay.
     """
-    groups = stored(jaccard_groups(docs, width=5, percent=80), "pipeline-groups")
-    kept = without(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "doc_id")
-    again = stored(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id") == F.col("_id")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows, row = with_row(docs)
+    groups = jaccard_groups(rows, key=row, width=5, percent=80).select(F.col(row).alias("member"), F.col("component_id").alias("head"))
+    others = stored(groups.where("member <> head"), "pipeline-groups")
+    members = others.unionByName(others.select("head", F.col("head").alias("member")).distinct())
+    own = rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "member")
+    named = stored(members.join(own, "member"), "pipeline-members")
+    kept = named.groupBy("head").agg(F.min(order)["member"].alias("member"))
+    return without(rows, named.join(kept, "member", "left_anti").select("member"), row).drop(row)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"), "doc_id")
+    """Documents that hold no benchmark item; decided by row, whatever its doc_id."""
+    rows, row = with_row(docs)
+    return without(rows, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row).select(row), row).drop(row)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place (shard, slot) in eight shards of even bytes, moved as little as can be from those by source."""
+    """All documents with their place (shard, slot) in eight shards of even bytes, moved as little as can be from those by source.
+
+    An input column named like one of the plan's goes out with underscores before its name.
+    """
     old = (F.crc32(F.col("source").cast("binary")) % 8).cast("int")
     return reshard(docs, old, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
