@@ -9,6 +9,8 @@ import pytest
 from check_oracle import TABLES, compare
 
 import __spark_entry__ as entry
+from mistgrove.catalog.oracle import ORACLE
+from mistgrove.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW_TWINS = {  # same job as another query, or checked on its parts
@@ -26,15 +28,15 @@ def con():
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW_TWINS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW_TWINS))
 def test_query(spark, con, name):
-    ok, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
+    ok, note = compare(spark, con, name, QUERIES[name], ORACLE[name], FOLDER)
     assert ok, note
 
 
-def test_every_query_but_the_sample_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"sampled_cuts"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
