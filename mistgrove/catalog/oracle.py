@@ -249,7 +249,7 @@ ORACLE["equi_frequency_cuts"] = f"WITH {FREQUENCY} SELECT CAST(block AS BIGINT)
 ORACLE["merged_cuts"] = f"WITH {FREQUENCY} SELECT feature, bin, round(cut, 6) AS cut FROM cuts"
 CT_OUT = "SELECT feature, CAST(bin AS BIGINT) AS bin, CAST(label AS BIGINT) AS label, CAST(n AS BIGINT) AS n FROM ct"
 ORACLE["contingency_width"] = f"WITH {WIDTH} {CT_OUT}"
-ORACLE["contingency_freq"] = f"WITH {FREQUENCY} {CT_OUT}"
+ORACLE["contingency_freq"] = ORACLE["contingency_ranked"] = f"WITH {FREQUENCY} {CT_OUT}"
 
 # Every searchable bin and class, zeros included.
 GRID = """

@@ -292,7 +292,7 @@ def _counts(spark, folder, strategy: str) -> tuple[DataFrame, DataFrame]:
     df = labelled(spark, folder)
     splits_ = WIDTH_SPLITS if strategy == cutting.EQUAL_WIDTH else FREQUENCY_SPLITS
     found = cutting.candidate_cuts(df, NUMERIC, strategy, splits_, "l_linenumber")
-    return found, cutting.contingency(df, "cls", cutting.cut_lists(found), strategy)
+    return found, cutting.contingency_between(df, "cls", found, NUMERIC, strategy, df.count())
 
 
 @query
@@ -307,6 +307,14 @@ def contingency_freq(spark, folder):
     return tidy(_counts(spark, folder, cutting.EQUAL_FREQUENCY)[1])
 
 
+@query
+def contingency_ranked(spark, folder):
+    """The same by the rank join that serves any number of cuts, which are numbered range by range too."""
+    df = labelled(spark, folder)
+    cuts = cutting.merge_cuts(cutting.equi_frequency_cuts(df, NUMERIC, FREQUENCY_SPLITS, "l_linenumber"), most=50)
+    return tidy(cutting.rank_join(df, "cls", cuts, NUMERIC, df.count(), buckets=16))
+
+
 def _searchable(spark, folder) -> DataFrame:
     return coring.searchable_bins(*_counts(spark, folder, cutting.EQUAL_WIDTH), CLASSES)
 

@@ -16,8 +16,8 @@ def searchable_bins(cuts: DataFrame, counts: DataFrame, classes: int) -> DataFra
     With equal-frequency counts this leaves out the rows between the last inner cut and the
     maximum, which is part of the defined result.
     """
-    last = F.max("bin").over(Window.partitionBy("feature"))
-    inner = cuts.withColumn("last", last).filter("bin < last")
+    last = cuts.groupBy("feature").agg(F.max("bin").alias("last"))
+    inner = cuts.join(F.broadcast(last), "feature").filter("bin < last")  # a row a column
     labels = F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("label")
     grid = inner.select("feature", "bin", F.col("cut").alias("x"), labels)
     return grid.join(counts, ["feature", "bin", "label"], "left").fillna(0, ["n"])

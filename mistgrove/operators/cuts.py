@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mistgrove.functions.lookup import CASE_LIMIT, opened, rank_of, ranks
+from mistgrove.functions.lookup import CASE_LIMIT, double_array, opened, rank_of, ranks
 from mistgrove.operators.scale import melt, range_edges
-
-#: Candidate cuts of all columns together that are sent to every task: 8 bytes each, 512 MB in all.
-MOST_CUTS = 64_000_000
+from mistgrove.storage import BROADCAST_ROWS, settle, small_side
 
 EQUAL_WIDTH = "equal_width"
 EQUAL_FREQUENCY = "equal_frequency"
@@ -153,11 +151,40 @@ def equi_frequency_cuts(
     return inner.unionByName(ends.select(*keys, F.explode(F.array("lo", "hi")).alias("cut")))
 
 
-def merge_cuts(cuts: DataFrame) -> DataFrame:
-    """(feature, bin, cut): the distinct cuts of all blocks, numbered in order per column."""
-    distinct = cuts.select("feature", "cut").distinct()
-    order = Window.partitionBy("feature").orderBy("cut")
-    return distinct.withColumn("bin", F.row_number().over(order) - 1)
+def range_of(column: str, edges: dict[str, list[float]]) -> Column:
+    """In a long table (feature, ...): the range of a value among the edges of its feature."""
+    return F.coalesce(*[F.when(F.col("feature") == name, rank_of(F.col(column), e)) for name, e in edges.items()]).cast("int")
+
+
+def ranges_before(counted: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(feature, bucket, before): of the ranges' counts `n`, the sum over all ranges before; empty ranges included."""
+    parts = [F.struct(F.lit(name).alias("feature"), F.sequence(F.lit(0), F.lit(len(e))).alias("buckets")) for name, e in edges.items()]
+    every = counted.sparkSession.range(1).select(F.inline(F.array(*parts))).select("feature", F.explode("buckets").alias("bucket"))
+    earlier = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    filled = every.join(counted, ["feature", "bucket"], "left")
+    found = filled.select("feature", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return small_side(found, sum(len(e) + 1 for e in edges.values()))
+
+
+def merge_cuts(cuts: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(feature, bin, cut): the distinct cuts of all blocks, numbered in order per column.
+
+    More than `most` cuts are numbered range by range, so that no task has to order a whole column.
+    """
+    distinct = settle(cuts.select("feature", "cut").distinct())
+    total = distinct.count()
+    if total <= most:
+        order = Window.partitionBy("feature").orderBy("cut")
+        return distinct.withColumn("bin", F.row_number().over(order) - 1)
+    buckets = min(4096, 2 + total // max(1, most))
+    probes = double_array([i / buckets for i in range(1, buckets)])
+    found = distinct.groupBy("feature").agg(F.percentile_approx("cut", probes, 10 * buckets).alias("edges")).collect()  # a row a column
+    edges = {r.feature: sorted(set(r.edges)) for r in found}
+    placed = distinct.withColumn("bucket", range_of("cut", edges))
+    before = ranges_before(placed.groupBy("feature", "bucket").agg(F.count("*").alias("n")), edges)
+    inside = F.row_number().over(Window.partitionBy("feature", "bucket").orderBy("cut"))
+    return placed.withColumn("nth", inside).join(before, ["feature", "bucket"]).select(
+        "feature", "cut", (F.col("before") + F.col("nth") - 1).cast("int").alias("bin"))
 
 
 def candidate_cuts(
@@ -176,19 +203,48 @@ def candidate_cuts(
 
 
 def cut_lists(cuts: DataFrame) -> dict[str, list[float]]:
-    """The cuts of each column in order: at most blocks * (splits + 2) values per column.
-
-    They are sent to every task of the counting pass, so there must not be too many of them.
-    """
-    total = cuts.count()
-    if total > MOST_CUTS:
-        raise ValueError(f"{total} candidate cuts are too many: use fewer blocks or fewer bins")
+    """The cuts of each column in order; for tables whose number of rows has been looked at."""
     found: dict[str, list[float]] = {}
     for r in cuts.orderBy("feature", "bin").collect():
         found.setdefault(r.feature, []).append(r.cut)
     return found
 
 
+def cut_ends(cuts: DataFrame) -> dict[str, tuple[float, float, int]]:
+    """First cut, last cut and number of cuts of each column: all that evenly spaced cuts need."""
+    ends = cuts.groupBy("feature").agg(F.min("cut").alias("lo"), F.max("cut").alias("hi"), F.count("*").alias("n"))
+    return {r.feature: (r.lo, r.hi, r.n) for r in ends.collect()}
+
+
+def rank_join(df: DataFrame, label: str, cuts: DataFrame, cols: list[str], rows: int, buckets: int | None = None) -> DataFrame:
+    """(feature, bin, label, n) where bin is the number of the column's cuts below a value, for any number of cuts.
+
+    Values, counted per class, and cuts go into one table that is dealt out by column and value range. Within a range the cuts
+    passed so far are a running sum; the cuts of the ranges before it are added. A hot value is one row per class. Ranges come from
+    a sample and only steer the work. Neither values nor cuts reach the driver. Nulls are left out.
+    """
+    if buckets is None:
+        buckets = min(4096, 1 + rows // 1_000_000)
+    edges = range_edges(df, cols, buckets, rows)
+    long = melt(df, cols, edges, F.col(label).alias("label")).filter("value is not null")
+    counted = long.groupBy("feature", "bucket", "value", "label").agg(F.count("*").alias("n"))
+    marks = cuts.filter(F.col("feature").isin(cols)).select("feature", range_of("cut", edges).alias("bucket"), F.col("cut").alias("value"))
+    both = counted.withColumn("cuts", F.lit(0)).unionByName(marks.withColumn("cuts", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy("feature", "bucket").orderBy("value", "cuts").rowsBetween(Window.unboundedPreceding, 0)
+    before = ranges_before(marks.groupBy("feature", "bucket").agg(F.count("*").alias("n")), edges)
+    placed = both.withColumn("passed", F.sum("cuts").over(upto)).filter("cuts = 0").join(before, ["feature", "bucket"])
+    return placed.groupBy("feature", (F.col("before") + F.col("passed")).cast("int").alias("bin"), "label").agg(F.sum("n").alias("n"))
+
+
+def contingency_between(df: DataFrame, label: str, cuts: DataFrame, cols: list[str], strategy: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(feature, bin, label, n) from a table of cuts: evenly spaced ones by arithmetic, `most` others by search in the pass, more by a rank join."""
+    if strategy == EQUAL_WIDTH:
+        return even_counts(df, label, cut_ends(cuts))
+    if cuts.count() <= most:
+        return contingency(df, label, cut_lists(cuts), strategy)
+    return rank_join(df, label, cuts, cols, rows)
+
+
 def contingency(df: DataFrame, label: str, cuts: dict[str, list[float]], strategy: str) -> DataFrame:
     """(feature, bin, label, n): rows per bin and class, combined before the shuffle.
 
@@ -203,16 +259,19 @@ def contingency(df: DataFrame, label: str, cuts: dict[str, list[float]], strateg
         names = F.array(*[F.lit(c) for c in cuts])
         long = placed.select("label", F.posexplode("bins").alias("at", "bin")).groupBy("at", "bin", "label").agg(F.count("*").alias("n"))
         return long.select(F.get(names, F.col("at")).alias("feature"), "bin", "label", "n")
+    if strategy == EQUAL_WIDTH:
+        return even_counts(df, label, {c: (e[0], e[-1], len(e)) for c, e in cuts.items()})
+    parts = [F.struct(F.lit(name).alias("feature"), rank_of(F.col(name).cast("double"), edges).cast("int").alias("bin")) for name, edges in cuts.items()]
+    long = opened(df, [F.col(label).alias("label")], parts, sum(len(v) for v in cuts.values()))
+    return long.groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
+
+
+def even_counts(df: DataFrame, label: str, ends: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """The same for evenly spaced cuts, from the first, the last and the number of each column's."""
     parts = []
-    for name, edges in cuts.items():
-        x = F.col(name).cast("double")
-        if strategy == EQUAL_WIDTH:
-            lo, hi, inner = edges[0], edges[-1], len(edges) - 1
-            place = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(inner))) if hi > lo else F.lit(0)
-            place = F.greatest(F.lit(0), F.least(place.cast("int"), F.lit(inner - 1)))
-        else:
-            place = rank_of(x, edges)
+    for name, (lo, hi, cuts) in ends.items():
+        x, inner = F.col(name).cast("double"), cuts - 1
+        place = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(inner))) if hi > lo else F.lit(0)
+        place = F.greatest(F.lit(0), F.least(place.cast("int"), F.lit(inner - 1)))
         parts.append(F.struct(F.lit(name).alias("feature"), place.cast("int").alias("bin")))
-    searched = 0 if strategy == EQUAL_WIDTH else sum(len(v) for v in cuts.values())
-    long = opened(df, [F.col(label).alias("label")], parts, searched)
-    return long.groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
+    return opened(df, [F.col(label).alias("label")], parts, 0).groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mistgrove.features import numeric
 from mistgrove.operators.cores import best_cores, searchable_bins, split_segments
 from mistgrove.operators.cuts import (
-    EQUAL_FREQUENCY, candidate_cuts, contingency, cut_lists, fit_sizes,
+    EQUAL_FREQUENCY, candidate_cuts, contingency_between, fit_sizes,
 )
 from mistgrove.operators.encode import validate
 from mistgrove.storage import settle, spread
@@ -49,7 +49,7 @@ def fuzzy_partition(
     sizes = fit_sizes(validate(df, checked, label, classes), max_bins, min_ratio)
     df = spread(df, sizes.rows)
     cuts = settle(candidate_cuts(df, cols, strategy, sizes.splits, block, fraction, seed, sample_key))
-    counts = contingency(df, label, cut_lists(cuts), strategy)
+    counts = contingency_between(df, label, cuts, cols, strategy, sizes.rows)
     found = search_cores(searchable_bins(cuts, counts, classes), sizes.min_instances, min_gain)
     points = cuts.withColumnRenamed("bin", "core")
     inner = found.join(points, ["feature", "core"]).select("feature", "cut")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +92,27 @@ def test_contingency_bins(spark):
     assert flat == {0: 7}
 
 
+def test_rank_join_with_more_cuts_than_rows(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(3), draw.gauss(0, 1), round(draw.gauss(0, 1), 1)) for _ in range(400)] + [(1, 0.25, 7.0)] * 200 + [(0, None, 1.0)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(4)
+    lists = {"a": sorted({draw.gauss(0, 1) for _ in range(5000)} | {0.25}), "b": sorted({round(x / 100, 2) for x in range(-300, 300)})}
+    every = [(c, x) for c, cuts in lists.items() for x in cuts]
+    cuts = cutting.merge_cuts(spark.createDataFrame(every + every[:99], "feature string, cut double").repartition(3), most=100)
+    assert {(r.feature, r.bin, r.cut) for r in cuts.collect()} == {(c, i, x) for c, known in lists.items() for i, x in enumerate(known)}
+    want = Counter()
+    for y, *values in rows:
+        for c, x in zip("ab", values):
+            if x is not None:
+                want[c, bisect.bisect_left(lists[c], x), y] += 1
+    for buckets in (1, 8):
+        got = cutting.rank_join(df, "y", cuts, ["a", "b"], len(rows), buckets).collect()
+        assert {(r.feature, r.bin, r.label): r.n for r in got} == want and len(got) == len(want)
+    chosen = cutting.contingency_between(df.dropna(), "y", cuts, ["a", "b"], cutting.EQUAL_FREQUENCY, len(rows), most=1000)
+    few = cutting.contingency(df.dropna(), "y", lists, cutting.EQUAL_FREQUENCY)
+    assert {tuple(r) for r in chosen.collect()} == {tuple(r) for r in few.collect()}
+
+
 def bits(counts):
     total = sum(counts)
     return -sum(c / total * math.log2(c / total) for c in counts if c > 0) if total > 0 else 0.0
