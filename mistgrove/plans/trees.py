@@ -19,12 +19,15 @@ from mistgrove.operators.route import (
 )
 from mistgrove.operators.splits import allowed_bins, best_split_binary, best_split_multi
 from mistgrove.operators.stats import node_predict, node_stats
-from mistgrove.storage import settle, small_side, spread
+from mistgrove.storage import discard, settle, small_side, spread, written
 
 #: Fuzzified rows of at most this size are kept between levels; larger tables are scanned again,
 #: which costs less than storing them.
 KEEP_BYTES = 4 << 30
 
+#: After so many levels the frontier, all rows at their open nodes, is written; later levels start there, not at the root.
+STRIDE = 4
+
 #: Chosen splits carry class sums of their children; only so many are sent to every executor.
 WIDE_ROWS = 5_000
 
@@ -154,13 +157,15 @@ def _numbered(decided: DataFrame, features: list[Feature], binary: bool, next_id
 
 def train_tree(
     df: DataFrame, features: list[Feature], label: str, classes: int, binary: bool, tnorm: str, options: TreeOptions,
-    checked: bool = False,
+    checked: bool = False, stride: int = STRIDE,
 ) -> TreeModel:
     """Grow a tree level by level.
 
-    Each level is one pass: rows are fuzzified and routed through the splits found so far by
-    joins with small tables, in the same stage as the scan and the partial sums, so nothing
-    per row is stored or shuffled between levels. Only the sums per (node, feature, bin, class)
+    Each level is one pass: rows are routed through the splits found since the last frontier by
+    joins with small tables, in the same stage as the scan and the partial sums. Every STRIDE levels the frontier is
+    written: the coordinates, activation and memory of each row at each node still open. Rows whose
+    leaves are all closed are no longer in it. So no level routes through more than STRIDE splits, and the work
+    grows with the depth, not with its square. Only the sums per (node, feature, bin, class)
     are shuffled; they and the chosen nodes are kept in the checkpoint folder.
     """
     rows = df.count() if checked else validate(df, features, label, classes)
@@ -172,18 +177,26 @@ def train_tree(
     state = ["coords", "label"]
     route, descend = (route_binary, descend_binary) if binary else (route_multi, descend_multi)
     all_bins = sum(f.bins for f in features)
-    levels: list[tuple[DataFrame, int]] = []  # splits of each level and a bound on their number
+    levels: list[tuple[DataFrame, int]] = []  # splits of each level since the frontier and a bound on their number
+    frontier, path = at_root(fuzzy, *state), None
+    if binary:
+        frontier = frontier.withColumn("crossed", F.array().cast("array<int>"))
     finished: list[DataFrame] = []
     open_nodes, open_count, next_id = None, 1, 2
     for level in range(options.max_depth + 1):
-        routed = at_root(fuzzy, *state)
-        if binary:
-            routed = routed.withColumn("crossed", F.array().cast("array<int>"))
+        routed = frontier
         for depth, (splits, count) in enumerate(levels):
-            if depth == 0:
+            if depth == 0 and path is None:
                 routed = descend(root_split(routed, first_split), state, tnorm)
             else:
                 routed = route(routed, small_side(splits, count), tnorm)
+        if len(levels) == stride:
+            ids = small_side(open_nodes.select("node_id"), open_count)
+            before = path
+            frontier, path = written(routed.join(ids, "node_id", "left_semi"), "frontier")
+            routed, levels = frontier, []
+            if before:
+                discard(df.sparkSession, before)
         if level == 0:
             routed = routed.withColumns({
                 "allowed": F.create_map().cast(ALLOWED), "used": F.array().cast("array<int>"),
@@ -231,6 +244,8 @@ def train_tree(
         full = full.withColumns(blank).select(*NODE_COLUMNS)
         nodes = full if nodes is None else nodes.unionByName(full)
     nodes = settle(nodes)
+    if path:
+        discard(df.sparkSession, path)
     if kept:
         fuzzy.unpersist()
     return TreeModel("binary" if binary else "multi", nodes, features, classes, tnorm)
@@ -241,8 +256,8 @@ def train_multi(
     **options,
 ) -> TreeModel:
     """Train a multi-way tree: a split opens one child per bin, and a column splits once per path."""
-    checked = options.pop("checked", False)
-    return train_tree(df, features, label, classes, False, tnorm, TreeOptions(max_depth, **options), checked)
+    checked, stride = options.pop("checked", False), options.pop("stride", STRIDE)
+    return train_tree(df, features, label, classes, False, tnorm, TreeOptions(max_depth, **options), checked, stride)
 
 
 def train_binary(
@@ -250,5 +265,5 @@ def train_binary(
     **options,
 ) -> TreeModel:
     """Train a binary tree: a split parts the bins of one column in two, and columns may be reused."""
-    checked = options.pop("checked", False)
-    return train_tree(df, features, label, classes, True, tnorm, TreeOptions(max_depth, **options), checked)
+    checked, stride = options.pop("checked", False), options.pop("stride", STRIDE)
+    return train_tree(df, features, label, classes, True, tnorm, TreeOptions(max_depth, **options), checked, stride)

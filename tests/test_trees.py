@@ -18,6 +18,7 @@ from mistgrove.operators.evaluate import accuracy_stats, confusion_matrix, error
 from mistgrove.operators.route import at_root, descend_multi, root_split
 from mistgrove.operators.score import predict_class, score_rows, score_table
 from mistgrove.operators.stats import node_stats
+from mistgrove.plans import trees as trees_module
 from mistgrove.plans.trees import train_binary, train_multi
 
 TWO = [nominal("f0", 2), nominal("f1", 2)]
@@ -262,3 +263,41 @@ def test_training_pass_is_one_fused_scan(spark, tmp_path):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
     assert "ReadSchema: struct<label:int,f0:double,f1:double>" in plan
     assert "partial_sum" in plan
+
+
+@pytest.fixture(scope="module")
+def winding(spark):
+    """Rows whose class changes often along three columns, so that deep trees keep growing."""
+    draw = random.Random(8)
+    rows = []
+    for _ in range(700):
+        a, b, c = (draw.random() for _ in range(3))
+        rows.append((int(7 * a + 5 * b * c + 3 * draw.random() ** 4) % 3, a, b, c))
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double").repartition(4).cache()
+    return df, [numeric(x, [i / 6 for i in range(7)]) for x in "abc"]
+
+
+@pytest.mark.parametrize("train", [train_binary, train_multi])
+def test_frontier_gives_the_same_deep_tree(spark, winding, train):
+    df, features = winding
+    columns = ["node_id", "parent_id", "level", "split_feature", "is_leaf", "u"]
+    trees = []
+    for stride in (2, 99):
+        nodes = train(df, features, "y", 3, max_depth=6, stride=stride).nodes.select(*columns).collect()
+        trees.append(sorted((*r[:5], tuple(round(x, 6) for x in r["u"])) for r in nodes))
+    assert trees[0] == trees[1]
+    assert max(r[2] for r in trees[0]) == (6 if train is train_binary else 3)
+
+
+def test_no_level_routes_through_more_than_the_stride(spark, winding, monkeypatch):
+    df, features = winding
+    joins = []
+    stats = trees_module.node_stats
+
+    def seen(routed, *rest):
+        joins.append(routed._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return stats(routed, *rest)
+
+    monkeypatch.setattr(trees_module, "node_stats", seen)
+    train_binary(df, features, "y", 3, max_depth=9, stride=3)
+    assert len(joins) >= 8 and max(joins) <= 4
