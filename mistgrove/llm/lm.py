@@ -14,9 +14,11 @@ end in a rare word are dealt by that word, so its shard sees all of them and kno
 
 from __future__ import annotations
 
-import zlib
+import os
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,19 @@ NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
 def thin(values: np.ndarray) -> bytes:
-    """A non-negative array, compressed; sorted ones by differences are smaller still."""
-    return zlib.compress(values.astype(np.uint32).tobytes(), 1)
+    """A non-negative array byte plane by byte plane, without the planes that are all zero; the table it is stored in compresses it."""
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    planes = 1 + max((k for k in range(4) if raw[:, k].any()), default=0)
+    return bytes([planes]) + raw[:, :planes].T.tobytes()
 
 
 def thick(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+    planes = data[0]
+    rows = np.frombuffer(data, np.uint8, offset=1).reshape(planes, -1)
+    out = rows[0].astype(np.int64)
+    for k in range(1, planes):
+        out |= rows[k].astype(np.int64) << (8 * k)
+    return out
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -123,13 +132,25 @@ def requests(known: Vocabulary, bags: list[np.ndarray], held: np.ndarray) -> Ite
             spans = holders[part]
             at = np.arange(spans.sum()) + np.repeat(start[part] - (np.cumsum(spans) - spans), spans)
             here, places = np.unique(np.concatenate([first[part], second[part]]), return_inverse=True)
-            named = zlib.compress(np.diff(words[here], prepend=np.uint64(0)).tobytes(), 1)
+            named = words[here].tobytes()
             yield int(shard[part[0]]), named, *map(thin, (np.diff(places[: len(part)], prepend=0), places[len(part) :], trained[part], spans, doc[at], often[at]))
 
 
+@contextmanager
+def mapped(trie: bytes):
+    """The trie as a file mapped into memory; the file lies in the task's own scratch folder and a retried task writes its own."""
+    handle, path = tempfile.mkstemp(prefix="trie-")
+    try:
+        with os.fdopen(handle, "wb") as file:
+            file.write(trie)
+        yield np.memmap(path, np.uint8, "r")
+    finally:
+        os.unlink(path)
+
+
 def answers(known: Vocabulary, table: pa.Table) -> tuple[bytes, list[tuple[int, np.ndarray, np.ndarray]]]:
     """The shard's words and trie in one buffer, and per batch of texts the documents and what the trie adds to each."""
-    named = [np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), np.uint64)) for x in table["words"]]
+    named = [np.frombuffer(x.as_py(), np.uint64) for x in table["words"]]
     words, local = np.unique(np.concatenate(named), return_inverse=True)
     asked, begin = [], 0
     for own, firsts, seconds in zip(named, table["firsts"], table["seconds"], strict=True):
@@ -142,12 +163,14 @@ def answers(known: Vocabulary, table: pa.Table) -> tuple[bytes, list[tuple[int,
     single = np.where(words < RARE, known.counts[np.minimum(words, WORDS - 1)], np.bincount(second, counts, len(words)).astype(np.int64))
     seen = counts > 0
     used, places = np.unique(np.concatenate([first[seen], second[seen]]), return_inverse=True)
-    trie = Sequence.built(words[used]) + Trie.built(*np.split(places, 2), known.values(single[second[seen]], counts[seen]), len(used))
-    held = Sequence(np.frombuffer(trie, np.uint8))
-    at = held.search(words, np.zeros(len(words), np.int64), np.full(len(words), held.n))
+    numbers = Sequence.built(words[used])
+    trie = numbers + Trie.built(*np.split(places, 2), known.values(single[second[seen]], counts[seen]), len(used))
+    at = np.full(len(words), -1)
+    at[used] = np.arange(len(used))
     there = np.flatnonzero((at[first] >= 0) & (at[second] >= 0))
     gains = np.zeros(len(kinds))
-    gains[there] = Trie(memoryview(trie)[held.size :]).lookup(at[first[there]], at[second[there]], held.n) * STEP
+    with mapped(trie) as levels:
+        gains[there] = Trie(levels[len(numbers) :]).lookup(at[first[there]], at[second[there]], len(used)) * STEP
     out, done = [], 0
     for i, pairs in enumerate(asked):
         gain = gains[back[done : done + len(pairs)]]
@@ -178,7 +201,7 @@ def score_corpus(docs: DataFrame, held_out: Column, key: str = "doc_id", text: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        number, seq = known.number, 0
+        numbered, seq = known.number.__getitem__, 0
         kinds = [f.type for f in pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                  ("base", pa.float64()), ("context", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("shard", pa.int32()),
                  ("block", pa.int64()), *[(n, pa.binary()) for n in NAMES[11:]]])]
@@ -189,8 +212,9 @@ def score_corpus(docs: DataFrame, held_out: Column, key: str = "doc_id", text: s
             bags, rare, times = [], [], []
             for value in batch.column(2).to_pylist():
                 found = (value or b"").lower().split()
-                bags.append(np.array([BEGIN, *[number[w] for w in found], END], np.uint64))
-                missing = Counter(w for w in found if w not in number)
+                bag = np.array([BEGIN, *map(numbered, found), END], np.uint64)
+                bags.append(bag)
+                missing = Counter([found[i] for i in np.flatnonzero(bag[1:-1] >= RARE).tolist()])
                 rare.append(list(missing))
                 times.append(list(missing.values()))
             own, context, sure = [], [], []

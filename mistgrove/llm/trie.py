@@ -1,7 +1,7 @@
 """A two-level n-gram trie in one buffer: Elias-Fano sequences for contexts, pointers and successors, one byte a value.
 
 An Elias-Fano sequence keeps a non-decreasing row of numbers as their low bits, packed, and their high bits in unary, with a
-small directory for select. All parts are views of one buffer, which may be a file mapped into memory.
+small directory for select. All parts are views of one buffer; `lm.mapped` makes it a file mapped into memory.
 """
 
 from __future__ import annotations
@@ -14,6 +14,13 @@ EVERY = 64
 
 def packed(values: np.ndarray, width: int) -> np.ndarray:
     """Bit-packed low parts, with room to read 8 bytes at the end."""
+    if 8 <= width <= 57:  # every value starts in a byte of its own: byte k of all values at once
+        bit = np.arange(len(values), dtype=np.int64) * width
+        out = np.zeros((len(values) * width + 7) // 8 + 9, np.uint8)
+        shifted = values << (bit & 7).astype(np.uint64)
+        for k in range((width + 14) // 8):
+            out[(bit >> 3) + k] |= ((shifted >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)
+        return out
     bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
     return np.concatenate([np.packbits(bits.reshape(-1), bitorder="little"), np.zeros(9, np.uint8)])
 
