@@ -21,6 +21,8 @@ from mistgrove.llm.common import fresh, pieces, stored
 LENGTHS, BUCKETS, SIZE = (3, 4, 5, 6), 1 << 17, 4
 #: Documents per class to learn from, words of a window and between windows.
 SAMPLE, WINDOW, STRIDE = 2000, 8, 4
+#: Spread of the random start.
+START = 0.1
 #: Bytes of the longest text to learn from, so that the sample has a bound.
 LONGEST = 100_000
 #: Words whose scores a task keeps before it starts anew.
@@ -138,7 +140,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5, seed: int = 1) -> Model:
     """Train vectors and softmax together on every text's worst window so far.
 
-    Vectors start at their n-grams' log odds along one direction and zero else. A round steps against the gradient of the mean
+    Vectors and softmax start at random, drawn along one direction by the n-grams' log odds; a bag is the average of a window's words. A round steps against the gradient of the mean
     log loss, classes weighed equally, scaled so that its largest entry is `rate`, which falls to zero: what
     many texts agree on moves first. Every fourth text of a class is held back for the softmax's scale and bias alone, since
     vectors fit their own texts too well to say what a score is worth. Without texts of both classes every score is 0.5.
@@ -153,8 +155,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
     random = np.random.default_rng(seed)
     direction = random.normal(0, 1, SIZE)
     direction /= np.linalg.norm(direction)
-    head, bias = np.stack([-direction / 2, direction / 2]), np.zeros(2)
-    vectors = bags.log_odds(kinds)[:, None] * direction
+    head, bias = np.stack([-direction / 2, direction / 2]) + random.normal(0, START, (2, SIZE)), np.zeros(2)
+    vectors = random.normal(0, START, (BUCKETS, SIZE)) + bags.log_odds(kinds)[:, None] * direction
     for step in range(rounds):
         lo, hi, value = bags.worst(vectors @ (head[1] - head[0]))
         if not step:

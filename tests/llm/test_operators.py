@@ -465,3 +465,11 @@ def test_equal_texts_go_together_across_old_shards(spark):
     assert len(plan) == len(rows) and {r["doc_id"]: r["old_shard"] for r in plan} == {r[0]: r[2] for r in rows}
     assert all(len(shards[c]) == 1 for c, size in groups.items() if size <= total // (8 * 512)) and sum(len(s) > 1 for s in shards.values()) >= 1
     assert max(bytes_.values()) - min(bytes_.values()) <= 0.05 * total / 8
+
+
+def test_toxicity_vectors_are_of_full_rank_and_know_misspellings(toxic_texts):
+    model = toxicity.fit([t for t, _ in toxic_texts], [k for _, k in toxic_texts])
+    sizes = np.linalg.svd(model.vectors, compute_uv=False)
+    assert sizes[1] > 0.01 * sizes[0] and np.linalg.svd(model.head, compute_uv=False)[1] > 1e-3
+    clean, misspelt, toxic = model.word_scores(["latimo", "scoundrell", "scoundrel"])
+    assert clean < misspelt and clean < toxic and misspelt <= 1.05 * toxic
