@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mistgrove.storage import spread
 
-# Fixed format of a header line: the keyword, a name, an optional type, and the bounds in
-# square brackets or the values in curly ones.
-ATTRIBUTE_LINE = r"@attribute[ ]+([\w\-/]+)[ ]*(integer|real)?[ ]*[\[{]([^{}\[\]]*)[\]}]"
-OUTPUTS_LINE = r"@outputs(.*)"
+# Fixed values of the header format: its keywords and the types of numeric attributes.
+ATTRIBUTE, OUTPUTS = "@attribute", "@outputs"
+NUMERIC_TYPES = ("real", "integer")
+
+
+def behind(line: Column, keyword: str) -> Column:
+    """What follows a keyword in a line, without outer blanks."""
+    return F.trim(F.get(F.split(line, keyword, 2), F.lit(1)))
+
+
+def first_of(text: Column, *marks: str) -> Column:
+    """The place of the first of these characters, counted from 1; null without any."""
+    return F.least(*[F.nullif(F.instr(text, m), F.lit(0)) for m in marks])
 
 
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
@@ -24,17 +33,17 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")
     )
-    declared = lines.filter(F.col("line").contains("@attribute")).select(
-        "line_no",
-        F.regexp_extract("line", ATTRIBUTE_LINE, 1).alias("name"),
-        F.regexp_extract("line", ATTRIBUTE_LINE, 2).alias("type"),
-        F.transform(F.split(F.regexp_extract("line", ATTRIBUTE_LINE, 3), ","), lambda v: F.trim(v)).alias("parts"),
-    )
-    if declared.filter("name = ''").limit(1).count():
-        raise ValueError(f"a line with @attribute in {path} cannot be parsed")
-    outputs = lines.filter(F.col("line").contains("@outputs")).select(
-        F.regexp_replace(F.regexp_extract("line", OUTPUTS_LINE, 1), " ", "").alias("output")
-    )
+    told = lines.filter(F.col("line").contains(ATTRIBUTE)).select("line_no", behind(F.col("line"), ATTRIBUTE).alias("told"))
+    told = told.withColumn("opens", first_of(F.col("told"), "[", "{"))
+    told = told.select("line_no", F.split(F.trim(F.expr("substring(told, 1, opens - 1)")), " +").alias("head"), F.expr("substring(told, opens + 1)").alias("body"))
+    declared = told.select(
+        "line_no", F.get("head", F.lit(0)).alias("name"), F.coalesce(F.get("head", F.lit(1)), F.lit("")).alias("type"), F.size("head").alias("words"),
+        F.col("body").substr(F.lit(1), first_of(F.col("body"), "]", "}") - 1).alias("body"))
+    readable = (F.col("name") != "") & (F.col("words") <= 2) & F.col("type").isin("", *NUMERIC_TYPES) & F.col("body").isNotNull()
+    if declared.filter(~F.coalesce(readable, F.lit(False))).limit(1).count():
+        raise ValueError(f"a line with {ATTRIBUTE} in {path} cannot be parsed")
+    declared = declared.select("line_no", "name", "type", F.transform(F.split("body", ","), lambda v: F.trim(v)).alias("parts"))
+    outputs = lines.filter(F.col("line").contains(OUTPUTS)).select(behind(F.col("line"), OUTPUTS).alias("output"))
     named = [r.output for r in outputs.collect()]
     if not named:
         raise ValueError(f"{path} names no @outputs")
