@@ -366,8 +366,7 @@ def test_leaks_against_all_pairs(docs, rows, empty, spark):
             passage, around = set(tokens_[p : p + 2 * half]), tokens_[max(0, p - half) : p + 3 * half]
             for i, words in told.items():
                 if round(sum(w for t, w in shares[i].items() if t in passage), 9) >= decontaminate.THRESHOLD:
-                    question, answer = decontaminate.parts(words)
-                    if all(decontaminate.overlap(decontaminate.ngrams(x), around) >= decontaminate.OVERLAP for x in (question, answer)):
+                    if decontaminate.overlap(decontaminate.ngrams(words), around) >= decontaminate.OVERLAP:
                         expected.add((d, i))
     assert got == expected and len(got) > 20
     assert decontaminate.find_leaks(empty, table).count() == 0 and decontaminate.find_leaks(docs, table.limit(0)).count() == 0
@@ -381,6 +380,35 @@ def test_leaks_with_several_indexes(docs, rows, spark, monkeypatch):
     assert whole and collected(decontaminate.find_leaks(docs, table), "doc_id", "item_id", "score") == whole
 
 
+@pytest.mark.parametrize("vocabulary", [12, 60, 400])
+def test_wand_skips_no_item(vocabulary):
+    made = random.Random(vocabulary)
+    items = [([f"w{int(made.paretovariate(0.5)) % vocabulary}" for _ in range(made.randint(1, 30))], None) for _ in range(150)]
+    frequency = Counter(t for q, _ in items for t in set(q))
+    index = decontaminate.Index(list(range(150)), items, frequency, 150, 15.0)
+    texts = [[f"w{made.randrange(vocabulary + 5)}" for _ in range(made.choice([0, 1, 40, 300]))] for _ in range(60)] + [q * 2 for q, _ in items[:20]]
+    coded = [[index.terms.get(w, -1) for w in t] for t in texts]
+    got = index.candidates(np.array([i for t in coded for i in t], np.int64), np.array([len(t) for t in coded]))
+    expected, half = set(), index.half
+    for k, t in enumerate(coded):
+        for p in range(max(1, -(-len(t) // half) - 1)):
+            there = set(t[p * half : (p + 2) * half])
+            expected |= {(k, p, i) for i, s in enumerate(index.shares) if sum(w for x, w in s.items() if x in there) >= decontaminate.THRESHOLD - 1e-9}
+    assert set(got) == expected and len(got) == len(expected) >= 20
+
+
+def test_items_cut_at_either_end_are_found(spark):
+    item, other = [f"q{k}" for k in range(38)], [f"z{k}" for k in range(200)]
+    cuts = [item, item[4:], item[:-4], item[7:], item[:-7], item[:6] + other[:30]]
+    docs = spark.createDataFrame([(i, " ".join(other[:90] + c + other[90:])) for i, c in enumerate(cuts)], "doc_id long, text string")
+    table = spark.createDataFrame([(1, " ".join(item)), (2, "quite another item of the table")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.find_leaks(docs, table).collect()) == [0, 1, 2, 3, 4]
+    # with a column of answers half of both parts has to be there: text 2 holds two of the six n-grams of its answer
+    parted = spark.createDataFrame([(1, " ".join(item[:30]), " ".join(item[30:])), (2, None, ""), (3, "quite another", None)], "item_id long, text string, reply string")
+    found = decontaminate.find_leaks(docs, parted, answer_text="reply").collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 1, 3] and all(r["answer"] >= 0.5 for r in found)
+
+
 # 9 languages
 
 def test_languages(docs, rows, empty, spark):
