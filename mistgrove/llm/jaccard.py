@@ -324,8 +324,10 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     final = components(links.union(compared(texts, members, heads, left, width, percent)))
     nodes = members.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("members")) \
         .join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = stored(nodes.join(least, "component").select("node", "component_id", "members"), "jaccard-groups")
+    nodes = stored(nodes, "jaccard-nodes")
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    groups = stored(attach(nodes, stored(least, "jaccard-least"), "component", F.col("nodes"), nodes.count())
+                    .select("node", "component_id", "members"), "jaccard-groups")
     filled = attach(members.where("node is not null"), groups, "node", F.col("members"), members.count())
     return filled.select("key", "n", "component_id").union(members.where("node is null").select("key", "n", "key")) \
         .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
