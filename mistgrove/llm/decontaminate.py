@@ -4,7 +4,8 @@ Items are scored by BM25, as a share of what the item scores against itself, and
 one cursor per distinct term in that term's postings (in order of items). Cursors are ordered by their item, and the item at
 which the terms' largest weights add up to the threshold is the pivot: no item before it can reach it. If the largest
 weights within the pivot's block can't reach it either, the cursors skip to the block's end; else they
-meet at the pivot and it is scored. All passages of a batch take their steps together, as numpy arrays of cursors.
+meet at the pivot and it is scored. All passages of a batch take their steps together, as numpy arrays of cursors;
+passages whose rarer terms lead to no item within reach take none.
 Every item above the threshold is then verified by the n-grams that the passage's surroundings hold.
 """
 
@@ -82,6 +83,17 @@ class Index:
         self.weight = np.array([w for _, _, w in postings], float)
         self.place = term * len(split) + self.item  # in order, so that a cursor finds its next item by binary search
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        # an item's most common terms, up to half the threshold, are summed; only the postings of the rarer ones are followed at first
+        self.common, rare = np.zeros(len(split)), set()
+        for i, s in enumerate(shares):
+            for t in sorted(s, key=lambda t: (-frequency[t], t)):
+                if self.common[i] + s[t] > THRESHOLD / 2:
+                    rare.add((i, self.terms[t]))
+                else:
+                    self.common[i] += s[t]
+        followed = np.array([(i, t) in rare for t, i, _ in postings], bool)
+        self.rare = np.flatnonzero(followed)
+        self.rare_first = np.searchsorted(term[self.rare], np.arange(len(self.terms) + 1))
         self.largest = np.zeros(len(self.terms))
         np.maximum.at(self.largest, term, self.weight)
         begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.item[1:] // BLOCK != self.item[:-1] // BLOCK)][: len(term)])
@@ -117,10 +129,26 @@ class Index:
         both = np.unique((offset[text] + place)[good] * len(self.terms) + term[good])
         return both // max(1, len(self.terms)), both % max(1, len(self.terms)), offset
 
+    def promising(self, passage: np.ndarray, term: np.ndarray, enough: float) -> np.ndarray:
+        """Which cursors belong to passages that may hold an item: one reached by its rarer terms there and all its common ones."""
+        spans = self.rare_first[term + 1] - self.rare_first[term]
+        posting = self.rare[np.arange(spans.sum()) + np.repeat(self.rare_first[term] - (np.cumsum(spans) - spans), spans)]
+        pairs = np.repeat(passage, spans) * len(self.keys) + self.item[posting]
+        order = np.argsort(pairs, kind="stable")
+        pairs, weight = pairs[order], self.weight[posting[order]]
+        begins = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)])
+        total = np.add.reduceat(weight, begins) if len(begins) else np.zeros(0)
+        whole, item = pairs[begins] // len(self.keys), pairs[begins] % len(self.keys)
+        live = np.zeros(passage[-1] + 1 if len(passage) else 0, bool)
+        live[whole[total + self.common[item] >= enough]] = True
+        return live[passage]
+
     def candidates(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, passage, item) of all items that reach the threshold in a passage."""
         passage, term, offset = self.cursors(ids, lengths)
         enough, items = THRESHOLD - 1e-9, len(self.keys)
+        near = self.promising(passage, term, enough)
+        passage, term = passage[near], term[near]
         at = self.first[term]
         found = []
         while len(passage):
