@@ -64,6 +64,16 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def split_fields(line: Column) -> Column:
+    """A line's fields without outer blanks; null for an empty one. A comma in double quotes parts no fields."""
+    whole = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(whole, lambda f: F.nullif(F.trim(F.regexp_replace(F.trim(f), r'^"(.*)"$', "$1")), F.lit("")))
+
+
+def number(field: Column) -> Column:
+    return field.try_cast("double")
+
+
 def read_examples(spark: SparkSession, path: str, attributes: DataFrame) -> DataFrame:
     """Comma-separated rows without a header line, typed by the attributes; the class is a column like the others.
 
@@ -76,6 +86,23 @@ def read_examples(spark: SparkSession, path: str, attributes: DataFrame) -> Data
     return spark.read.csv(path, schema=T.StructType(fields), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST")
 
 
+def sift_examples(spark: SparkSession, path: str, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The readable rows, typed as `read_examples` types them, and the rejected lines (file, line, reason).
+
+    A line is rejected for a wrong number of fields or for the first field whose number can't be read; empty lines are
+    neither. Fields may be quoted. Both tables are views of the same files: lines are read once per table, nothing is collected.
+    """
+    declared = attributes.orderBy("idx").collect()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    told = lines.withColumn("fields", split_fields(F.col("line")))
+    numbers = [(i, r.name) for i, r in enumerate(declared) if r.kind == "numeric"]
+    unread = [F.when(number(F.get("fields", F.lit(i))).isNull() & F.get("fields", F.lit(i)).isNotNull(), F.lit(f"{name}: not a number")) for i, name in numbers]
+    miscounted = F.when(F.size("fields") != len(declared), F.concat(F.size("fields").cast("string"), F.lit(f" fields instead of {len(declared)}")))
+    told = told.withColumn("reason", F.coalesce(miscounted, *unread))
+    typed = [(number(F.get("fields", F.lit(i))) if r.kind == "numeric" else F.get("fields", F.lit(i))).alias(r.name) for i, r in enumerate(declared)]
+    return told.where("reason is null").select(*typed), told.where("reason is not null").select("file", "line", "reason")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; one small file is dealt out to all cores."""
     table = spark.read.parquet(f"{folder}/{name}.parquet")
