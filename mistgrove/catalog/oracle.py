@@ -663,6 +663,11 @@ ORACLE["examples_round_trip"] = f"""
 WITH {SRC} SELECT CAST(cls AS BIGINT) AS cls, count(*) AS n,
   {", ".join(f"round(sum({c}), 2) AS sum_{c}" for c in NUMERIC)}, CAST(sum(flag) AS BIGINT) AS sum_l_returnflag,
   CAST(sum(status) AS BIGINT) AS sum_l_linestatus, CAST(0 AS BIGINT) AS sum_year_digits FROM src GROUP BY cls"""
+ORACLE["rejected_lines"] = """
+SELECT CASE WHEN l_orderkey % 7 = 0 THEN '2 fields instead of 3' WHEN l_orderkey % 5 = 0 THEN 'quantity: not a number'
+  ELSE 'read, flag ' || l_returnflag END AS outcome, count(*) AS n,
+  round(sum(CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 5 = 0 THEN 0.0 ELSE CAST(l_quantity AS DOUBLE) END), 2) AS quantity
+FROM lineitem GROUP BY 1"""
 # The study: the fuzzy sets lie evenly on [0, 1] and are met by the scaled values.
 UNIT_SETS = """
 cores AS (SELECT f, k AS bin, k * 0.25::DOUBLE AS b FROM range(4) a(f), range(5) t(k)),

@@ -691,6 +691,22 @@ def examples_round_trip(spark, folder):
     ), 2)
 
 
+@query
+def rejected_lines(spark, folder):
+    """Lines of line items, every fifth order with a quantity that is no number and every seventh one field short: what was read and what refused."""
+    items = read_table(spark, folder, "lineitem")
+    path = f"{shared_folder(spark)}/sifted-{uuid.uuid4().hex}"
+    quantity = F.when(F.col("l_orderkey") % 5 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    price = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice").cast("string"))
+    items.select(F.concat_ws(", ", quantity, price, "l_returnflag").alias("value")).write.text(f"{path}/rows")
+    lines = ["@attribute quantity real[0, 100]", "@attribute price real[0, 1000000]", "@attribute flag {A, N, R}", "@outputs flag"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/header")
+    good, bad = examples.sift_examples(spark, f"{path}/rows", examples.read_attributes(spark, f"{path}/header"))
+    read = good.select(F.concat(F.lit("read, flag "), "flag").alias("outcome"), F.col("quantity").alias("q"))
+    outcomes = read.unionByName(bad.select(F.col("reason").alias("outcome"), F.lit(0.0).alias("q")))
+    return tidy(outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("quantity")), 2)
+
+
 def _study(spark, folder):
     df = labelled(spark, folder)
     return fit_and_evaluate(df, df, attributes(spark, df), max_depth=2, bins=100)
