@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mistgrove.operators import cuts as cutting
 from mistgrove.operators.cores import best_cores, searchable_bins
 from mistgrove.operators.describe import partition_listing, partition_stats
-from mistgrove.operators.scale import exact_quantiles, quantile_lists, quantile_positions, to_uniform
+from mistgrove.operators.scale import exact_quantiles, quantile_lists, quantile_positions, to_uniform, wanted_ranges
 from mistgrove.plans.partitioning import fuzzy_partition, search_cores
 
 
@@ -35,6 +35,32 @@ def test_exact_quantiles(spark, buckets, bins):
     assert got["b"] == [sorted(-v for v in values)[p] for p in places]
 
 
+@pytest.mark.parametrize("k", [8, 40, None])
+def test_quantiles_do_not_depend_on_the_sketch(spark, k):
+    """A sketch of size 8 misses most positions, so ranges outside its intervals are looked into as well."""
+    draw = random.Random(11)
+    columns = {
+        "skewed": [draw.random() ** 9 * 1e6 for _ in range(3000)], "same": [4.5] * 3000,
+        "hot": [0.0 if i % 3 else draw.gauss(0, 1) for i in range(3000)],
+        "signed": [draw.choice([-0.0, 0.0, float("inf"), float("-inf"), -1.5]) for _ in range(3000)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(6)
+    got = quantile_lists(exact_quantiles(df, list(columns), 20, 400, k))
+    places = quantile_positions(3000, 20)
+    assert got == {c: [sorted(v)[p] for p in places] for c, v in columns.items()}
+
+
+def test_quantiles_of_an_empty_table(spark):
+    assert exact_quantiles(spark.createDataFrame([], "a double"), ["a"], 10).collect() == []
+
+
+def test_ranges_of_a_sketch_cover_its_intervals():
+    edges, inside = wanted_ranges(np.array([[1.0, 2.0, 3.0], [2.5, 2.6, 4.0], [9.0, 9.0, 9.0]]), 100)
+    at = [bisect.bisect_left(edges, x) for x in (0.5, 1.0, 2.0, 3.5, 4.0, 4.1, 8.9, 9.0, 9.1)]
+    assert [inside[i] for i in at] == [False, True, True, True, True, False, False, True, False]
+    assert wanted_ranges(np.array([[1.0, 2.0, 3.0], [2.5, 2.6, 4.0]]), 2) == ([2.6], [True, True])
+
+
 def test_quantiles_of_a_tiny_table(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "a double")
     assert quantile_lists(exact_quantiles(df, ["a"], 1000))["a"] == [1.0, 2.0, 3.0]
