@@ -108,17 +108,18 @@ def sets_and_sketches(docs: DataFrame, width: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingle, sketch = Shingler(width), np.zeros((2, CELLS), np.uint8)
+        shingle, sketch = Shingler(width), np.zeros((2, CELLS), np.uint32)
         names = ["key", "n", "node", "chunk", "counts"]
         for batch in pieces(batches, 1):
             sets = [shingle(x) for x in batch.column(1).to_pylist()]
             for row, at in enumerate(cells(np.concatenate(sets))):
-                sketch[row] = np.minimum(sketch[row] + np.bincount(at, minlength=CELLS), 255)
+                np.add.at(sketch[row], at, np.uint32(1))  # in place: nothing as long as the sketch is made per batch
             nodes = [int.from_bytes(xxhash.xxh3_64_digest(x.tobytes()), "big", signed=True) if len(x) else None for x in sets]
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()),
                                               none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        for chunk, part in enumerate(sketch.reshape(-1, CHUNK)):
+        for chunk, counted in enumerate(sketch.reshape(-1, CHUNK)):
+            part = np.minimum(counted, 255).astype(np.uint8)
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()),
                                                   pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
