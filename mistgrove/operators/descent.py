@@ -7,6 +7,8 @@ part, and what leaves give is summed per row. Spark splits the table and carries
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,25 @@ class FlatTree:
     def norm(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return x * y if self.product else np.minimum(x, y)
 
+    def __reduce__(self):
+        return received, (self.number, self.split, self.child, self.share, self.left, self.product)
+
+
+def received(number, split, child, share, left, product: bool) -> FlatTree:
+    """A run as a task gets it: in a scratch file without a name, read through a memory map.
+
+    A worker meets all runs of a tree; so mapped, they take memory that the system can have back, not the worker's own.
+    """
+    arrays = [a for a in (number, split, child, share, left) if a is not None]  # single bytes last, so all others are aligned
+    with tempfile.TemporaryFile() as file:
+        for a in arrays:
+            file.write(a.tobytes())
+        file.flush()
+        held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    ends = np.cumsum([a.nbytes for a in arrays])
+    mapped = [np.frombuffer(held, a.dtype, a.size, end - a.nbytes).reshape(a.shape) for a, end in zip(arrays, ends)]
+    return FlatTree(*mapped, *([None] if left is None else []), product)
+
 
 def _multi_step(tree: FlatTree, coords: np.ndarray, row, node, act):
     coord = coords[row, tree.split[node]]

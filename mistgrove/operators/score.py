@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mistgrove.functions.impurity import class_shares
+from mistgrove.functions.lookup import arrow_matrix
 from mistgrove.operators.bins import with_coords
 from mistgrove.operators.descent import FlatTree, descend_batch, root_state
 from mistgrove.plans.trees import TreeModel
@@ -15,9 +16,6 @@ from mistgrove.plans.trees import TreeModel
 #: Nodes, and nodes x bins, that one stage of scoring holds; a larger tree takes more stages.
 STAGE_NODES, STAGE_CELLS = 100_000, 50_000_000
 
-#: What a row carries from one stage to the next: its places, what they remember, and the sums so far.
-STATE = "struct<node:array<bigint>,activation:array<double>,memory:array<tinyint>,scores:array<double>,hit:boolean>"
-
 
 def flat_tree(model: TreeModel, first: int, last: int) -> FlatTree:
     """The nodes numbered first to last as arrays: as many as one stage holds."""
@@ -63,78 +61,23 @@ def scores_in_place(model: TreeModel, stage_nodes: int = STAGE_NODES):
     serves streaming tables as well. A row opens into many leaves and closes again, which
     built-in operators can only do with a shuffle on a row key or with interpreted lambdas.
     A tree of any size is scored the same way: nodes are numbered from the root down, a stage holds one run of them
-    (sent out as a broadcast), and rows carry the places that are beyond it to the next.
+    (sent out as a broadcast), and rows take the places that are beyond it to the next. One Python worker of a task takes
+    a batch through all stages: as expressions of their own, each stage would keep a worker and a queue of rows in every task.
     """
     width, classes, binary = len(model.features), model.classes, model.kind == "binary"
     context = model.nodes.sparkSession.sparkContext
     trees = [context.broadcast(flat_tree(model, *run)) for run in runs(model, stage_nodes)]
 
-    def lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-
-    def matrix(coords: pa.Array) -> np.ndarray:
-        return coords.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-    def packed(rows: int, state: list[np.ndarray], totals: np.ndarray, hit: np.ndarray) -> pa.StructArray:
-        order = np.argsort(state[0], kind="stable")
-        counts = np.bincount(state[0], minlength=rows)
-        memory = state[3][order].ravel() if binary else np.zeros(0, np.int8)
-        parts = [lists(counts, state[1][order]), lists(counts, state[2][order]), lists(counts * width * binary, memory),
-                 lists(np.full(rows, classes), totals.ravel()), pa.array(hit)]
-        return pa.StructArray.from_arrays(parts, names=["node", "activation", "memory", "scores", "hit"])
-
-    def unpacked(carried: pa.StructArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        node, activation, memory, totals, hit = carried.flatten()
-        rows = np.repeat(np.arange(len(carried)), node.value_lengths().to_numpy(zero_copy_only=False))
-        state = [rows, node.flatten().to_numpy(zero_copy_only=False), activation.flatten().to_numpy(zero_copy_only=False)]
-        if binary:
-            state.append(memory.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-        return state, totals.flatten().to_numpy(zero_copy_only=False).reshape(-1, classes).copy(), hit.to_numpy(zero_copy_only=False).copy()
-
-    def begin(rows: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        return root_state(rows, width, binary), np.zeros((rows, classes)), np.zeros(rows, bool)
-
-    def confidences(totals: np.ndarray, hit: np.ndarray) -> pa.ListArray:
-        return lists(np.where(hit, classes, 0), totals[hit].ravel())
-
-    def whole(tree):
-        @F.arrow_udf("array<double>")
-        def stage(coords: pa.Array) -> pa.Array:
-            state, totals, hit = begin(len(coords))
-            descend_batch(tree.value, matrix(coords), state, totals, hit)
-            return confidences(totals, hit)
-        return stage
-
-    def first(tree):
-        @F.arrow_udf(STATE)
-        def stage(coords: pa.Array) -> pa.Array:
-            state, totals, hit = begin(len(coords))
-            return packed(len(coords), descend_batch(tree.value, matrix(coords), state, totals, hit), totals, hit)
-        return stage
-
-    def middle(tree):
-        @F.arrow_udf(STATE)
-        def stage(coords: pa.Array, carried: pa.Array) -> pa.Array:
-            state, totals, hit = unpacked(carried)
-            return packed(len(coords), descend_batch(tree.value, matrix(coords), state, totals, hit), totals, hit)
-        return stage
-
-    def end(tree):
-        @F.arrow_udf("array<double>")
-        def stage(coords: pa.Array, carried: pa.Array) -> pa.Array:
-            state, totals, hit = unpacked(carried)
-            descend_batch(tree.value, matrix(coords), state, totals, hit)
-            return confidences(totals, hit)
-        return stage
-
-    if len(trees) == 1:
-        return whole(trees[0])
-
-    def scores(coords: Column | str) -> Column:
-        carried = first(trees[0])(coords)
-        for tree in trees[1:-1]:
-            carried = middle(tree)(coords, carried)
-        return end(trees[-1])(coords, carried)
+    @F.arrow_udf("array<double>")
+    def scores(coords: pa.Array) -> pa.Array:
+        rows, places = len(coords), arrow_matrix(coords, width)
+        state, totals, hit = root_state(rows, width, binary), np.zeros((rows, classes)), np.zeros(rows, bool)
+        for tree in trees:
+            if not len(state[0]):
+                break
+            state = descend_batch(tree.value, places, state, totals, hit)
+        ends = np.concatenate([[0], np.cumsum(np.where(hit, classes, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(totals[hit].ravel()))
 
     return scores
 
@@ -152,5 +95,9 @@ def score_table(df: DataFrame, model: TreeModel, keep: list[str], stage_nodes: i
 
 
 def score_rows(scored: DataFrame, *keep: str) -> DataFrame:
-    """Long form (kept columns, label, score) of the confidences."""
-    return scored.select(*keep, F.posexplode("scores").alias("label", "score"))
+    """Long form (kept columns, label, score) of the confidences.
+
+    The outer form spares the optimizer's filter on the array's size, which would score every row a second time.
+    """
+    opened = scored.select(*keep, F.posexplode_outer("scores").alias("__label", "score")).filter("__label is not null")
+    return opened.withColumnRenamed("__label", "label")

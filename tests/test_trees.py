@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 import pytest
@@ -16,7 +17,7 @@ from mistgrove.operators.describe import tree_rules, tree_stats
 from mistgrove.operators.encode import validate
 from mistgrove.operators.evaluate import accuracy_stats, confusion_matrix, error_rate
 from mistgrove.operators.route import at_root, descend_multi, root_split
-from mistgrove.operators.score import predict_class, score_rows, score_table
+from mistgrove.operators.score import flat_tree, predict_class, runs, score_rows, score_table
 from mistgrove.operators.stats import node_stats
 from mistgrove.plans import trees as trees_module
 from mistgrove.plans.trees import train_binary, train_multi
@@ -301,3 +302,35 @@ def test_no_level_routes_through_more_than_the_stride(spark, winding, monkeypatc
     monkeypatch.setattr(trees_module, "node_stats", seen)
     train_binary(df, features, "y", 3, max_depth=9, stride=3)
     assert len(joins) >= 8 and max(joins) <= 4
+
+
+@pytest.mark.parametrize("train", [train_binary, train_multi])
+def test_stages_share_one_worker(spark, winding, train):
+    """However many stages a tree takes, a task has one Python worker, and rows opened by class are scored once."""
+    df, features = winding
+    model = train(df, features, "y", 3, max_depth=4)
+    keep = ["a", "b", "c"]
+    odd = spark.createDataFrame([tuple(r) for r in df.select(*keep).collect()] + [(None, float("nan"), 0.5)] * 2, "a double, b double, c double")
+    whole = score_table(odd, model, keep)
+    assert len(runs(model, 4)) > 4
+    staged = score_rows(score_table(odd, model, keep, stage_nodes=4), *keep)
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    want = sorted((str((r.a, r.b, r.c)), j, v) for r in whole.collect() for j, v in enumerate(r.scores))
+    got = sorted((str((r.a, r.b, r.c)), r.label, r.score) for r in staged.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-9)
+
+
+@pytest.mark.parametrize("train", [train_binary, train_multi])
+def test_a_sent_run_is_read_from_a_map(spark, winding, train):
+    df, features = winding
+    model = train(df, features, "y", 3, max_depth=2)
+    sent = flat_tree(model, *runs(model, 99)[0])
+    got = pickle.loads(pickle.dumps(sent))
+    assert got.product == sent.product and (got.left is None) == (sent.left is None)
+    for name in ("number", "split", "child", "share", "left"):
+        a, b = getattr(sent, name), getattr(got, name)
+        if a is not None:
+            assert a.dtype == b.dtype and a.shape == b.shape and (a == b).all()
+            assert not b.flags.owndata and not b.flags.writeable and b.flags.aligned
